@@ -6,25 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnline.llm import packing, token_files
+from tarnline.llm import bpe, near_dedup, packing, substring_dedup, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 50 words that a document of smaller id has too leave all documents."""
+    return substring_dedup.dedup(_docs(spark, sf_dir), texts=False)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written in bit planes and read again."""
     return token_files.digests(token_files.read_tokens(token_files.write_tokens(_docs(spark, sf_dir))))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    return bpe.encode_decode(_docs(spark, sf_dir), keep=False)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 ids."""
     return packing.pack(_docs(spark, sf_dir), keep_ids=False)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dedup.near_duplicates(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_files": op2_token_files,
+    "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
+    "op5_near_dedup": op5_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
