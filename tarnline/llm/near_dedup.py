@@ -89,19 +89,26 @@ def bag_min_hash(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n:
         live = np.flatnonzero(todo[own])
         time, found, step = np.zeros(len(live)), [], 0
         while len(live):
-            step += 1
-            draw = mix(seed[live] + U64(step * 0x9FB21C651E98DF25 & (1 << 64) - 1))
-            time = time - np.log(_uniform(draw)) / (slots * size[live])
-            near = time <= horizon[own[live]]
-            live, time, draw = live[near], time[near], draw[near]
-            if len(live):
-                place = mix(draw ^ U64(0x6A09E667F3BCC909))
-                at = own[live] * slots + (place % U64(slots)).astype(np.int64)
-                part = np.flatnonzero(b[live] > 0)  # the first block lies below every weight
-                level = low[live[part]] + size[live[part]] * _uniform(mix(place[part] ^ U64(0xBB67AE8584CAA73B)))
-                good = np.ones(len(live), bool)
-                good[part] = level <= most[live[part]]
-                found.append((at[good], time[good], draw[good]))
+            # Some points of each process at a time: about half of those that are to come.
+            ahead = slots * float(np.mean(size[live] * (horizon[own[live]] - time)))
+            steps = np.arange(step + 1, step + 1 + min(128, 1 + int(ahead / 2)), dtype=U64) * U64(0x9FB21C651E98DF25)
+            step += len(steps)
+            draw = mix(seed[live, None] + steps)
+            when = np.cumsum(np.log(_uniform(draw)), axis=1)
+            when *= (-1 / (slots * size[live]))[:, None]
+            when += time[:, None]
+            near = when <= horizon[own[live], None]
+            i, j = np.nonzero(near)
+            draw, at = draw[i, j], live[i]
+            place = mix(draw ^ U64(0x6A09E667F3BCC909))
+            slot = own[at] * slots + (place % U64(slots)).astype(np.int64)
+            part = np.flatnonzero(b[at] > 0)  # the first block lies below every weight
+            level = low[at[part]] + size[at[part]] * _uniform(mix(place[part] ^ U64(0xBB67AE8584CAA73B)))
+            good = np.ones(len(at), bool)
+            good[part] = level <= most[at[part]]
+            found.append((slot[good], when[i, j][good], draw[good]))
+            more = near[:, -1]
+            live, time = live[more], when[more, -1]
         first = np.full(n * slots, np.inf)
         for at, when, _ in found:
             np.minimum.at(first, at, when)
