@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnline.llm import bpe, near_dedup, packing, substring_dedup, token_files
+from tarnline.llm import bpe, language_id, near_dedup, packing, substring_dedup, token_files, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,25 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_docs(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    docs = _docs(spark, sf_dir)
+    return language_id.identify(docs, language_id.learn(docs))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    docs = _docs(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_files": op2_token_files,
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
     "op5_near_dedup": op5_near_dedup,
+    "op6_language_id": op6_language_id,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
