@@ -148,3 +148,16 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
     plain = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), *keep, F.col("text").cast("string").alias("text_"))
     schema = plain.drop("text_").schema.add("lang_pred", "string").add("score", "double")
     return plain.mapInArrow(add, schema)
+
+
+def known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """docs, all columns, of texts in a language of the model with a score of at least `least`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in slices(batch, "text", 1 << 19):
+                names, scores = score(run.column("text").to_pylist(), shared.value)
+                yield run.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

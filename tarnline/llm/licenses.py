@@ -20,6 +20,7 @@ not read. Templates are broadcast: their number is fixed.
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,48 +63,62 @@ def pivots(templates: tuple[tuple[str, str], ...]) -> list[str]:
     return chosen
 
 
+def _hashed(band: int, x: Column) -> Column:
+    return F.xxhash64(x, F.lit(band))
+
+
 def _bands(hashes: Column, bands: int) -> Column:
     """All bands of all windows of an array of shingle hashes."""
     out = []
     for k in range(bands):
-        own = F.transform(hashes, lambda x, k=k: F.xxhash64(x, F.lit(k)))
+        own = F.transform(hashes, partial(_hashed, k))
         n = F.size(hashes)
         pairs = F.zip_with(F.slice(own, F.lit(1), n - 1), F.slice(own, F.lit(2), n - 1), lambda a, b: F.least(a, b))
         out.append(F.when(n > 1, pairs).otherwise(own))
     return F.array_distinct(F.concat(*out))
 
 
-def _shingled(text: Column, k: int) -> Column:
-    """Distinct shingles' texts would lose order: these are all of them, in order."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return words
-
-
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT, bands: int = BANDS, k: int = SHINGLE) -> DataFrame:
     """doc_id, license, n_shingles, n_found, containment: a row for each template that a row of docs(doc_id, text) contains."""
     spark = docs.sparkSession
     rows = [(name, shingles_of(t, k)) for name, t in templates]
-    known = spark.createDataFrame([r for r in rows if r[1]], "license string, shingles array<string>")
+    if not all(r[1] for r in rows):
+        raise ValueError("a template has no shingle")
+    known = spark.createDataFrame(rows, "license string, shingles array<string>")
     known = known.select("license", "shingles", F.transform("shingles", lambda s: F.xxhash64(s)).alias("h"))
-    keys = known.select("license", F.explode(_bands(F.col("h"), bands)).alias("key"))
-    wanted = [r.key for r in keys.select("key").distinct().collect()]  # bands times the templates' windows
+    by_key: dict[int, list[str]] = {}
+    for r in known.select("license", F.explode(_bands(F.col("h"), bands)).alias("key")).collect():  # bands times the templates' windows
+        by_key.setdefault(r.key, []).append(r.license)
+    wanted = F.array(*map(F.lit, by_key))
+    holders = F.map_from_arrays(wanted, F.array(*(F.array(*map(F.lit, names)) for names in by_key.values())))
 
-    words = F.filter(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     lower = F.lower(F.col("text"))
     some = F.lit(False)
     for w in pivots(templates):
         some = some | F.contains(lower, F.lit(w))
+    words = F.filter(F.split(lower, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(some)
     split = read.select("doc_id", words.alias("words")).where(F.size("words") >= k)
-    at = F.sequence(F.lit(1), F.size("words") - (k - 1))
-    shingled = split.select("doc_id", F.transform(at, lambda i: F.array_join(F.slice("words", i, k), " ")).alias("held"))
-    hashed = shingled.select("doc_id", "held", F.transform("held", lambda s: F.xxhash64(s)).alias("h"))
-    met = hashed.select("doc_id", "held", F.array_intersect(_bands(F.col("h"), bands), F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<long>")).alias("met")).where(F.size("met") > 0)
-    by_key = F.broadcast(keys.groupBy("key").agg(F.collect_set("license").alias("licenses")))
-    templates_by = F.broadcast(known.select("license", "shingles"))
-    one = met.withColumn("row", F.monotonically_increasing_id())
-    found = one.select("doc_id", "row", "held", F.explode("met").alias("key")).join(by_key, "key").select("doc_id", "row", "held", F.explode("licenses").alias("license"))
-    once = found.groupBy("row", "license").agg(F.first("doc_id").alias("doc_id"), F.first("held").alias("held"))
-    checked = once.join(templates_by, "license").select("doc_id", "license", F.size("shingles").alias("n_shingles"), F.size(F.array_intersect("shingles", "held")).alias("n_found"))
+    at = F.sequence(F.lit(1), F.greatest(F.size("words") - (k - 1), F.lit(1)))
+    held = split.select("doc_id", F.transform(at, lambda i: F.array_join(F.slice("words", i, k), " ")).alias("held"))
+    hashed = held.select("doc_id", "held", F.transform("held", lambda s: F.xxhash64(s)).alias("h"))
+    met = hashed.select("doc_id", "held", F.array_intersect(_bands(F.col("h"), bands), wanted).alias("met"))
+    names = F.array_distinct(F.flatten(F.transform("met", lambda x: F.element_at(holders, x))))
+    once = met.select("doc_id", "held", F.explode(names).alias("license"))
+    checked = once.join(F.broadcast(known.select("license", "shingles")), "license").select(
+        "doc_id", "license", F.size("shingles").alias("n_shingles"), F.size(F.array_intersect("shingles", "held")).alias("n_found")
+    )
     share = F.col("n_found") / F.col("n_shingles")
     return checked.where(share >= containment).select("doc_id", "license", F.col("n_shingles").cast("long"), F.col("n_found").cast("long"), share.alias("containment"))
+
+
+def containment_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> str:
+    """DuckDB SQL for the rows of scan(): every template's shingles looked for in every text."""
+    rows = ", ".join(f"('{name}', '{s}')" for name, t in templates for s in shingles_of(t))
+    return rf"""WITH t(license, shingle) AS (VALUES {rows}),
+      n AS (SELECT license, count(*) AS n_shingles FROM t GROUP BY 1),
+      d AS (SELECT doc_id, row_number() OVER () AS r,
+              ' ' || trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' AS s FROM documents),
+      f AS (SELECT r, doc_id, license, count(*) AS n_found FROM d JOIN t ON contains(s, ' ' || shingle || ' ') GROUP BY 1, 2, 3)
+      SELECT doc_id, license, n_shingles, n_found, n_found / n_shingles AS containment
+      FROM f JOIN n USING (license) WHERE n_found >= {containment} * n_shingles"""

@@ -93,7 +93,7 @@ def area_resize(x: np.ndarray, height: int, width: int) -> np.ndarray:
     """height x width x depth means, as doubles, over equal areas of x."""
     h, w, depth = x.shape
     table = np.zeros((h + 1, w + 1, depth))
-    np.cumsum(np.cumsum(x, axis=0, dtype=np.int64), axis=1, out=table[1:, 1:], casting="unsafe")
+    table[1:, 1:] = np.cumsum(np.cumsum(x, axis=0, dtype=np.int64), axis=1)
 
     def at(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         p = np.arange(size + 1) * n / size

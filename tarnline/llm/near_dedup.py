@@ -236,3 +236,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     full = signed_docs.select("doc_id", "total", "s1", "s2").join(classes, ["total", "s1", "s2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     none = docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return full.unionByName(none).withColumn("is_first", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
+
+
+def first_of_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, without those that are not the first of their class. Rows that repeat a doc_id stay or go together."""
+    copies = near_duplicates(docs, threshold).where(~F.col("is_first")).select(F.col("doc_id").alias("__copy")).distinct()
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnline.llm import bpe, language_id, near_dedup, packing, substring_dedup, token_files, toxicity
+from tarnline.llm import bpe, language_id, licenses, media, near_dedup, nearest, packing, substring_dedup, token_files, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of all documents."""
+    return licenses.scan(_docs(spark, sf_dir))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every hundredth vector."""
+    return nearest.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as images, stored as NPY tiles and read again."""
+    return media.read_media(media.store_texts(_docs(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_files": op2_token_files,
@@ -57,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_near_dedup": op5_near_dedup,
     "op6_language_id": op6_language_id,
+    "op7_license_scan": op7_license_scan,
+    "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
+    "op10_media": op10_media,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_license_scan": licenses.containment_sql()}

@@ -171,3 +171,29 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, texts: bo
     joined = known.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
     rest = docs.where("doc_id IS NULL").withColumn("spans", F.lit(None).cast("array<struct<pos:int,edges:int>>"))
     return joined.unionByName(rest).mapInArrow(_kept(window, texts), schema)
+
+
+def _cut(window: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in slices(batch, "text"):
+                texts = run.column("text").to_pylist()
+                for k, spans in enumerate(run.column("__spans").to_pylist()):
+                    if spans:
+                        words = texts[k].encode().split()
+                        gone = covered(len(words), spans, window)
+                        texts[k] = b" ".join([words[j] for j in np.flatnonzero(~gone).tolist()]).decode()
+                rest = run.drop_columns(["__spans"])
+                yield rest.set_column(rest.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+    return cut
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """docs, all columns, with texts cut as by dedup(); n_chars, if there is one, is that of the new text."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    spans = repeated_spans(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"), window, anchor)
+    spans = spans.select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
+    joined = docs.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    out = joined.mapInArrow(_cut(window), docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -181,3 +181,17 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), threshold:
     plain = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), *keep, F.col("text").cast("string").alias("text_"))
     schema = plain.drop("text_").schema.add("score", "double").add("predicted", "integer")
     return plain.mapInArrow(add, schema)
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, without those that score threshold or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = _Hits(shared.value.weights)
+        for batch in batches:
+            for run in slices(batch, "text"):
+                z = logits(run.column("text").to_pylist(), shared.value, hits)
+                yield run.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
