@@ -13,11 +13,14 @@ likely all filled, and the horizon is doubled for those documents where one is n
    (1 - 0.8**ROWS)**BANDS, below 3e-6 by default.
 3. Each bucket's members are held against its smallest member: pairs grow with the rows of buckets, not with their squares. The
    exact overlap of the two multisets decides. Linked documents get the smallest id of their component.
-4. Only buckets that still hold several components are looked at again, members of different components in pairs, sizes permitting.
-   Every pair of a bucket is then either verified or already in one component, so that no link that could join two components is lost.
+4. Only buckets that still hold several components are looked at again, in groups of two blocks of a bounded number of members and words. In
+   a group every pair of different components whose first common band is this one is compared exactly, one member with all others in one
+   vector operation, and only links that join two components leave it: fewer than members. Every pair of a bucket is then either
+   verified or already in one component, so that no link that could join two components is lost, and no list of pairs is made.
 
 Nulls: a document without words (null text too) belongs to a class of its own, as do rows of null doc_id, which have a null class.
-Documents under 5 words have one shingle of all their words. Rows that repeat a doc_id count as one document of each text. An empty table
+Documents under 5 words have one shingle of all their words. Rows that repeat a doc_id with other texts
+share a class, which is linked to all that one of the texts is linked to. An empty table
 gives no rows. Other columns are not read.
 """
 
@@ -36,6 +39,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 45
 ROWS = 6
+BLOCK = 1024
+BLOCK_WORDS = 1_000_000
 _SIGNED = "doc_id long, total long, s1 long, s2 long, bands array<long>"
 U64 = np.uint64
 
@@ -179,6 +184,50 @@ def _verify(k: int, threshold: float):
     return verify
 
 
+def _join_components(k: int, threshold: float):
+    """Of the members of one bucket, or of two of its blocks: links between components, found by comparing all that are open."""
+
+    def join(key: tuple, rows: pa.Table) -> pa.Table:
+        band, lo, hi = (x.as_py() for x in key)
+        rows = rows.sort_by("doc")
+        doc, block = rows["doc"].to_numpy(), rows["block"].to_numpy()
+        label = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+        bands = pa.concat_arrays(rows["bands"].chunks).flatten().to_numpy().reshape(len(doc), -1)
+        before = bands[:, : int(np.argmax((bands == band).any(axis=0)))]
+        row, shingle, weight = multisets(Words(pa.concat_arrays(rows["text"].chunks)), k)
+        # A multiset as a set: a shingle's occurrences are elements of their own.
+        item = np.repeat(np.arange(len(row)), weight)
+        turn = np.arange(len(item)) - np.repeat(np.cumsum(weight) - weight, weight)
+        element = np.unique(mix(shingle[item] + turn.astype(U64) * U64(0x94D049BB133111EB)), return_inverse=True)[1]
+        total = np.bincount(row, weight, len(doc)).astype(np.int64)
+        start = np.cumsum(total) - total
+        mark = np.zeros(int(element.max()) + 1, np.int32)
+        out: list[list] = [[], [], []]
+        for x in range(len(doc) - 1):
+            after = slice(x + 1, len(doc))
+            open_ = (label[after] != label[x]) & (np.minimum(total[after], total[x]) >= threshold * np.maximum(total[after], total[x]))
+            if lo != hi:
+                open_ &= block[after] != block[x]
+            at = np.flatnonzero(open_)
+            at = at[~(before[at + x + 1] == before[x]).any(axis=1)] + x + 1
+            if not len(at):
+                continue
+            own = element[start[x] : start[x] + total[x]]
+            mark[own] = 1
+            first = int(at[0])
+            both = np.add.reduceat(mark[element[start[first] :]], start[first:] - start[first])[at - first]
+            mark[own] = 0
+            for y, c in zip(at.tolist(), both.tolist(), strict=True):
+                either = int(total[x] + total[y]) - c
+                if c >= threshold * either and label[x] != label[y]:
+                    label[label == label[y]] = label[x]
+                    for cell, v in zip(out, (int(doc[x]), int(doc[y]), c / either), strict=True):
+                        cell.append(v)
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
+
+    return join
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, root: the smallest id of each component of links(a, b), by large-star and small-star steps until nothing changes.
 
@@ -225,13 +274,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     links = written(linked(star.join(size, "a").where(near).select("a", "b")))
     roots = components(links)
     marked = written(_labelled(buckets.select("band", "doc", "total"), roots))
-    mixed = marked.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("doc").alias("least")).where("lo < hi").select("band", "least")
-    open_rows = marked.join(mixed, "band").where("doc > least").select("band", "doc", "total", "root")
-    other = open_rows.select("band", F.col("doc").alias("a"), F.col("total").alias("other"), F.col("root").alias("root_a"))
-    left = open_rows.join(other, "band").where("a < doc AND root <> root_a").where(near).select("a", F.col("doc").alias("b")).distinct()
-    late = written(linked(left))
+    mixed = marked.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("doc").alias("least"), F.count("*").alias("n"), F.sum("total").alias("words")).where("lo < hi")
+    mixed = mixed.select("band", "least", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int").alias("n_blocks"))
+    open_rows = marked.join(mixed, "band").where("doc > least").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("n_blocks")).cast("int"))
+    meets = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    meets = meets.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "root", "block")
+    held = groups.select("doc", "bands").join(docs.select(F.col("doc_id").alias("doc"), "text").where("text IS NOT NULL"), "doc")
+    late = meets.join(held, "doc").groupBy("band", "lo", "hi").applyInArrow(_join_components(k, threshold), "a long, b long, similarity double")
+    late = written(late.select("a", "b").distinct())
     if not late.isEmpty():
-        roots = components(links.select("a", "b").unionByName(late.select("a", "b")))
+        roots = components(links.select("a", "b").unionByName(late))
     classes = groups.select("total", "s1", "s2", "doc").join(roots, groups.doc == roots.id, "left").select("total", "s1", "s2", F.coalesce("root", "doc").alias("class_id"))
     full = signed_docs.select("doc_id", "total", "s1", "s2").join(classes, ["total", "s1", "s2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     none = docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
