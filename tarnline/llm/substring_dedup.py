@@ -6,8 +6,9 @@ the document; they are compacted to one path with the document and word where it
 Every 50-word run lies in exactly one path of its document, and equal runs have equal anchors, so that two documents share a
 run only if they have paths with the same anchor.
 
-1. Paths with the same words (two independent 64-bit hashes of all their words, which is how the coordinates are verified)
-   are counted with map-side aggregation: the smallest document that has each, where, and the largest.
+1. Anchors are counted with map-side aggregation, and paths whose anchor is in one document alone are left out. Of the others, paths
+   with the same words (96 bits of two independent hashes of all their words, by which spans are verified) are counted: the smallest
+   document that has each, where, and the largest.
 2. Each path of a document that a smaller document also has goes as a whole, through a join of documents' paths with the repeated ones.
 3. Of anchors that have several different paths in several documents, one source of each path is opened again by its
    coordinates and its edges compared one by one: where a copied passage begins or ends, paths agree in part. Sources that
@@ -35,7 +36,7 @@ from tarnline.llm.common import Words, sequence_hash, sequence_sums, signed, sli
 
 WINDOW = 50
 ANCHOR = 16
-_PATHS = "doc_id long, pos int, edges int, anchor long, h1 long, h2 long"
+_PATHS = "doc_id long, pos int, edges int, anchor long, h1 long, h2 int"
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -59,6 +60,12 @@ def _edges(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarr
     return at, least[at]
 
 
+def _two(words: Words, start: np.ndarray, stop: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """96 bits of runs of words, from two hashes."""
+    one, two = (sequence_hash(sequence_sums(words.hashes, k), start, stop) for k in (0, 1))
+    return pa.array(signed(one)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
 def _paths(window: int, anchor: int):
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,9 +80,9 @@ def _paths(window: int, anchor: int):
                 count = np.diff(np.append(first, len(at)))
                 start = at[first]
                 row = words.row[start]
-                h1, h2 = (signed(sequence_hash(sequence_sums(words.hashes, k), start, start + count + window - 1)) for k in (0, 1))
+                h1, h2 = _two(words, start, start + count + window - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [run.column("doc_id").take(pa.array(row)), pa.array((start - words.first[row]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(signed(anchors[first])), pa.array(h1), pa.array(h2)],
+                    [run.column("doc_id").take(pa.array(row)), pa.array((start - words.first[row]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(signed(anchors[first])), h1, h2],
                     ["doc_id", "pos", "edges", "anchor", "h1", "h2"],
                 )
 
@@ -96,8 +103,8 @@ def _opened(window: int):
                 start = np.repeat(words.first[row] + pos, count)
                 start += np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
                 row = np.repeat(row, count)
-                h1, h2 = (signed(sequence_hash(sequence_sums(words.hashes, k), start, start + window)) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([run.column("doc_id").take(pa.array(row)), pa.array((start - words.first[row]).astype(np.int32)), pa.array(h1), pa.array(h2)], ["doc_id", "pos", "h1", "h2"])
+                h1, h2 = _two(words, start, start + window)
+                yield pa.RecordBatch.from_arrays([run.column("doc_id").take(pa.array(row)), pa.array((start - words.first[row]).astype(np.int32)), h1, h2], ["doc_id", "pos", "h1", "h2"])
 
     return opened
 
@@ -142,18 +149,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     docs(doc_id long, text string), without null ids.
     """
     paths = docs.mapInArrow(_paths(window, anchor), _PATHS)
-    known = written(
-        paths.groupBy("anchor", "h1", "h2").agg(F.min("doc_id").alias("first"), F.min_by("pos", "doc_id").alias("pos"), F.max("doc_id").alias("last"), F.max("edges").alias("edges"))
-    )
-    whole = (
-        paths.join(known.where("first < last").select("anchor", "h1", "h2", "first"), ["anchor", "h1", "h2"])
-        .where("doc_id > first")
-        .select("doc_id", "pos", "edges")
-    )
+    # Only anchors of several documents can have repeated edges; all that follows has their paths alone.
+    shared = paths.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    paths = written(paths.join(shared, "anchor", "left_semi"))
+    known = paths.groupBy("h1", "h2").agg(F.min("anchor").alias("anchor"), F.min("doc_id").alias("first"), F.min_by("pos", "doc_id").alias("pos"), F.max("doc_id").alias("last"), F.max("edges").alias("edges"))
+    known = written(known)
+    whole = paths.join(known.where("first < last").select("h1", "h2", "first"), ["h1", "h2"]).where("doc_id > first").select("doc_id", "pos", "edges")
     # Anchors with several paths: one source each, its edges compared one by one.
     forked = known.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("n > 1 AND lo < hi").select("anchor")
     sources = known.join(forked, "anchor", "left_semi").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("pos", "edges")).alias("sources"))
-    edges = docs.join(sources.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "sources").mapInArrow(_opened(window), "doc_id long, pos int, h1 long, h2 long")
+    edges = docs.join(sources.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "sources").mapInArrow(_opened(window), "doc_id long, pos int, h1 long, h2 int")
     owners = edges.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
     single = edges.join(owners, ["h1", "h2"]).where("doc_id > first").select("doc_id", "pos", F.lit(1).alias("edges"))
     return whole.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "edges")).alias("spans"))
