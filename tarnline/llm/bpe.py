@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnline.llm.common import slices
-from tarnline.llm.tokens import SpacedEncoder, Units, byte_letters, packed, ready
+from tarnline.llm.tokens import LETTERS, STOPS, SpacedEncoder, Units, byte_letters, packed, ready
 
 #: Fixed value: the pre-tokenizer's pattern, with Unicode's white space written out.
 _S = r"\t-\r \x85\xa0  -     　"
@@ -55,6 +55,10 @@ class Merges:
         self.merged = {}
         for rank, (a, b) in enumerate(merges):
             self.merged.setdefault((self.token[spell(a)], self.token[spell(b)]), (rank, self.token[spell(a) + spell(b)]))
+        #: Of each token that a merge makes: the first such merge's rank and parts.
+        self.made: dict[int, tuple[int, int, int]] = {}
+        for (a, b), (rank, c) in self.merged.items():
+            self.made.setdefault(c, (rank, a, b))
         self.lookahead = max(map(len, self.reachable()))
         self.spelling |= {i: t.encode() for t, i in self.added.items()}
         self._pairs: dict[int, bool] = {}
@@ -79,13 +83,34 @@ class Merges:
         return ids
 
     def joinable(self, a: int, b: int) -> bool:
+        """Whether a and b stay apart: no merge across the border comes before those that make them.
+
+        The border lies between the right edge of what becomes a and the left edge of what becomes b. Seen backwards from the finished
+        tokens, the later of the two last merges at the edges is undone first; each pair of edges met so stood side by side until that
+        merge, and must not have had an earlier merge of its own. Of merges of one rank the leftmost goes first.
+        """
         key = a << 32 | b
         if (known := self._pairs.get(key)) is None:
-            known = self.merge(self.spelling[a] + self.spelling[b]) == [a, b]
+            known = self._apart(a, b)
             if len(self._pairs) < PAIRS:
                 self._pairs[key] = known
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        made, merged = self.made, self.merged
+        end = (len(merged), 0)  # when the pair at the border stops being side by side: rank, 0 left of it, 1 at it, 2 right of it
+        while True:
+            across = merged.get((a, b))
+            if across is not None and (across[0], 1) < end:
+                return False
+            left, right = made.get(a), made.get(b)
+            if left is None and right is None:
+                return True
+            if right is None or left is not None and (left[0], 0) > (right[0], 2):
+                end, a = (left[0], 0), left[2]
+            else:
+                end, b = (right[0], 2), right[1]
+
 
 class Transducer:
     """Bytes of one run in, stable ids out: feed as often as there are bytes, then finish."""
@@ -149,8 +174,8 @@ class Encoder:
     def __init__(self, name: str = "byte_bpe_50k.json"):
         self.merges = Merges(public_tokenizers.path(name))
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.merges.added, key=len, reverse=True))) + ")") if self.merges.added else None
-        self.runs = Units(lambda run: packed(self.run(run.encode())), 100_000)
-        self.spaced = SpacedEncoder(self.whole, lambda word: self.unit(" " + word), self.whole)
+        self.runs = Units(lambda run: packed(self.run(run.encode())), 50_000)
+        self.spaced = SpacedEncoder(self.unit, lambda word: self.unit(word, " "), self.whole)
         self.encode = self.spaced.encode
 
     def run(self, run: bytes) -> list[int]:
@@ -179,10 +204,13 @@ class Encoder:
                 out.pop()
         return out
 
-    def unit(self, unit: str) -> bytes:
-        if unit[-1] in ".," and unit[1:-1].isalpha():
-            return self.spaced.spaced[unit[1:-1]] + self.spaced.plain[unit[-1]]
-        return self.whole(unit)
+    def unit(self, word: str, space: str = "") -> bytes:
+        """A unit between white space; those of letters, with a stop or without, are one run and need no pattern."""
+        if LETTERS.fullmatch(word):
+            return packed(self.run((space + word).encode()))
+        if word[-1:] in STOPS and LETTERS.fullmatch(word, 0, len(word) - 1):
+            return (self.spaced.spaced if space else self.spaced.plain)[word[:-1]] + self.spaced.plain[word[-1]]
+        return self.whole(space + word)
 
     def whole(self, text: str) -> bytes:
         if self.split is None:

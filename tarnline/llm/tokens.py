@@ -15,8 +15,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 UNITS = 400_000
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_STOPS = (".", ",")
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+STOPS = (".", ",")
 _CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to Python, not to the library
 
 
@@ -93,9 +93,9 @@ class ByteBpe:
         return packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def unit(self, word: str, space: str = "") -> bytes:
-        if _LETTERS.fullmatch(word):
+        if LETTERS.fullmatch(word):
             return packed([t.id for t in self.model.tokenize(letters(word, space and "Ġ"))])
-        if word[-1:] in _STOPS and _LETTERS.fullmatch(word, 0, len(word) - 1):
+        if word[-1:] in STOPS and LETTERS.fullmatch(word, 0, len(word) - 1):
             return (self.units.spaced if space else self.units.plain)[word[:-1]] + self.units.plain[word[-1]]
         return self.unit_by_library(space + word)
 
@@ -119,9 +119,9 @@ class WordBpe:
         return packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def unit(self, unit: str) -> bytes:
-        if _LETTERS.fullmatch(unit):
+        if LETTERS.fullmatch(unit):
             return packed([t.id for t in self.model.tokenize(letters(unit.lower()))])
-        if unit[-1:] in _STOPS and _LETTERS.fullmatch(unit, 0, len(unit) - 1):
+        if unit[-1:] in STOPS and LETTERS.fullmatch(unit, 0, len(unit) - 1):
             return self.units[unit[:-1]] + self.units[unit[-1]]
         return self.unit_by_library(unit)
 

@@ -126,3 +126,11 @@ def test_runs_by_definition(coders):
     for _ in range(100):
         run = "".join(rng.choice("aeinrst") for _ in range(rng.randrange(1, 60))).encode()
         assert coders[2].run(run) == coders[2].merges.merge(run)
+
+
+def test_joinable_by_definition(coders):
+    m, rng = coders[2].merges, random.Random(9)
+    ids = [k for k in m.spelling if k not in m.added.values()]
+    known = [(k >> 32, k & 0xFFFFFFFF) for k in m._pairs]
+    for a, b in known[:3000] + [(rng.choice(ids), rng.choice(ids)) for _ in range(3000)]:
+        assert m.joinable(a, b) == (m.merge(m.spelling[a] + m.spelling[b]) == [a, b])
