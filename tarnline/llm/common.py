@@ -16,9 +16,7 @@ U64 = np.uint64
 
 def shared_dir(spark: SparkSession) -> str:
     """A new name under the folder that all executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.tarnline.shared.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tarnline.shared.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="tarnline-")
         spark.conf.set("spark.tarnline.shared.dir", root)

@@ -84,7 +84,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
     rows = [(name, shingles_of(t, k)) for name, t in templates]
     if not all(r[1] for r in rows):
         raise ValueError("a template has no shingle")
-    known = spark.createDataFrame(rows, "license string, shingles array<string>")
+    literal = [F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, held)).alias("shingles")) for name, held in rows]
+    known = spark.range(1).select(F.explode(F.array(*literal)).alias("t")).select("t.license", "t.shingles")
     known = known.select("license", "shingles", F.transform("shingles", lambda s: F.xxhash64(s)).alias("h"))
     by_key: dict[int, list[str]] = {}
     for r in known.select("license", F.explode(_bands(F.col("h"), bands)).alias("key")).collect():  # bands times the templates' windows

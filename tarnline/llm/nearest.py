@@ -62,14 +62,15 @@ class Tree:
                 todo += [(c, r) for k, c in enumerate(node.children) if len(r := rows[near == k])]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first leaves in order of best-bin-first traversal."""
+    def visits(self, query: np.ndarray, most: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first `most` leaves in order of best-bin-first traversal, and more until they have `least` rows, given rows by leaf."""
         queue: list[tuple[float, int, Node]] = [(0.0, 0, self.root)]
-        out, pushed = [], 1
-        while queue and len(out) < most:
+        out, pushed, met = [], 1, 0
+        while queue and (len(out) < most or met < least):
             _, _, node = heapq.heappop(queue)
             if node.leaf >= 0:
                 out.append(node.leaf)
+                met += 0 if rows is None else int(rows[node.leaf])
                 continue
             for d, c in zip(distances(query[None], node.centres)[0].tolist(), node.children, strict=True):
                 heapq.heappush(queue, (d, pushed, c))
@@ -199,13 +200,18 @@ def search(vectors: DataFrame, queries: Column, k: int = K, sample: int = SAMPLE
                 leaf = shared.value.assign(_matrix(batch.column("v")))
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), batch.column("asks"), pa.array(leaf)], ["vec_id", "v", "asks", "leaf"])
 
+    placed = written(flat.mapInArrow(place, "vec_id long, v array<double>, asks boolean, leaf long"))
+    rows = np.zeros(tree.leaves, np.int64)
+    for r in placed.groupBy("leaf").agg(F.countDistinct("vec_id").alias("n")).collect():  # a row a leaf at most
+        rows[r.leaf] = r.n
+    known = flat.sparkSession.sparkContext.broadcast(rows)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                visits = [shared.value.visits(q, wide) for q in _matrix(batch.column("v"))]
+                visits = [shared.value.visits(q, wide, known.value, k + 1) for q in _matrix(batch.column("v"))]
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(visits, pa.list_(pa.int64()))], ["query_id", "v", "leaves"])
 
-    placed = written(flat.mapInArrow(place, "vec_id long, v array<double>, asks boolean, leaf long"))
     asked = written(placed.where("asks").select("vec_id", "v").mapInArrow(walk, "query_id long, v array<double>, leaves array<long>"))
     visits = asked.select("query_id", "v", F.explode("leaves").alias("leaf"))
     # Blocks of each leaf on both sides: two numbers a leaf, and there are fewer leaves than sampled rows.
