@@ -11,7 +11,8 @@ misses only if both windows around the shingle have a smaller hash beside it, pr
 Then the share of a template's shingles, as texts, that the document contains decides: CONTAINMENT or more.
 
 Before that, a filter passes documents that contain one of a few words of the templates, chosen so that each shingle of each template has
-one: documents without any contain no template's shingle, so none is lost. It runs inside the scan's code generation.
+one: documents without any contain no template's shingle, so none is lost. It looks for them as parts of the text first, inside the scan's code
+generation, and then as words.
 
 A null or short text has no licenses and no rows, nor have empty tables. A null doc_id is kept. Repeated rows give repeated rows. Other columns are
 not read. Templates are broadcast: their number is fixed.
@@ -42,6 +43,10 @@ TEMPLATES = (
 )
 
 
+#: Words too common to tell a notice by.
+COMMON = frozenset("a an and any are as at be by can for from in is it of on or that the this to under with without you".split())
+
+
 def shingles_of(text: str, k: int = SHINGLE) -> list[str]:
     """Distinct shingles of a template, in order."""
     words = re.findall(r"[^\W_]+", text.lower())
@@ -49,13 +54,14 @@ def shingles_of(text: str, k: int = SHINGLE) -> list[str]:
 
 
 def pivots(templates: tuple[tuple[str, str], ...]) -> list[str]:
-    """Words such that each shingle of each template has one, few and long: the word in most uncovered shingles times its length, again and again."""
+    """Words such that each shingle of each template has one, few, long and not common: of those in uncovered shingles the one of most worth, again and again."""
     left = {s for _, t in templates for s in shingles_of(t)}
     chosen = []
     while left:
         worth: dict[str, int] = {}
         for s in left:
-            for w in set(s.split()):
+            words = set(s.split())
+            for w in words - COMMON or words:
                 worth[w] = worth.get(w, 0) + len(w) ** 2
         best = min(worth, key=lambda w: (-worth[w], w))
         chosen.append(best)
@@ -99,7 +105,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
         some = some | F.contains(lower, F.lit(w))
     words = F.filter(F.split(lower, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(some)
-    split = read.select("doc_id", words.alias("words")).where(F.size("words") >= k)
+    split = read.select("doc_id", words.alias("words")).where((F.size("words") >= k) & F.arrays_overlap("words", F.array(*map(F.lit, pivots(templates)))))
     at = F.sequence(F.lit(1), F.greatest(F.size("words") - (k - 1), F.lit(1)))
     held = split.select("doc_id", F.transform(at, lambda i: F.array_join(F.slice("words", i, k), " ")).alias("held"))
     hashed = held.select("doc_id", "held", F.transform("held", lambda s: F.xxhash64(s)).alias("h"))
