@@ -49,6 +49,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def bounded(picked: DataFrame, most: int) -> list:
+    """Rows of picked(doc_id, text) by a hash of doc_id, whole texts, as long as those before have less than `most` bytes; a bounded sample's."""
+    sizes = picked.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).collect()
+    total, ids = 0, set()
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        if total < most:
+            ids.add(r.doc_id)
+            total += r.n
+    rows = picked.where(F.col("doc_id").isin(list(ids))).collect()
+    return sorted(rows, key=lambda r: (r.doc_id, r.text))
+
+
 class Powers:
     """Powers of an odd base modulo 2**64 and their inverses, grown as needed."""
 

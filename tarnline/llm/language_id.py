@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnline.llm.common import held_out, slices
+from tarnline.llm.common import bounded, held_out, slices
 
 ORDER = 3
 SYMBOLS = 40
 PER_LANGUAGE = 400
-BYTES = 4_000_000
+BYTES = 3_000_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACE = ord(" ")
@@ -68,25 +68,20 @@ def code_lengths(symbols: list[np.ndarray], n: int, order: int) -> np.ndarray:
     return -np.log2(below).reshape(-1)
 
 
-def _sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """lang, text: the rows to learn from; ids are chosen first, without the texts."""
+def _sample(docs: DataFrame, per_language: int, most: int) -> dict[str, list[str]]:
+    """The texts to learn from, by language; ids are chosen first, without the texts."""
     some = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [x.doc_id for x in some.select("lang", "doc_id", F.row_number().over(first).alias("r")).where(F.col("r") <= per_language).select("doc_id").collect()]
-    return some.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    ids: dict[str, list[int]] = {}
+    for r in some.select("lang", "doc_id", F.row_number().over(first).alias("r")).where(F.col("r") <= per_language).collect():
+        ids.setdefault(r.lang, []).append(r.doc_id)
+    return {k: [r.text for r in bounded(some.where((F.col("lang") == k) & F.col("doc_id").isin(v)).select("doc_id", "text"), most)] for k, v in sorted(ids.items())}
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, symbols: int = SYMBOLS, most: int = BYTES) -> Model:
     """A model of the languages in docs(doc_id, text, lang), from rows that are not held out."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    rows = sorted(_sample(docs, per_language).collect(), key=lambda r: (r.lang, r.h, r.doc_id, r.text))
-    texts: dict[str, list[bytes]] = {}
-    size: dict[str, int] = {}
-    for r in rows:
-        if size.get(r.lang, 0) < most:
-            data = b" " * order + r.text.lower().encode()
-            texts.setdefault(r.lang, []).append(data)
-            size[r.lang] = size.get(r.lang, 0) + len(data)
+    texts = {k: [b" " * order + t.lower().encode() for t in v] for k, v in _sample(docs, per_language, most).items()}
     counts = np.zeros(256, np.int64)
     for t in texts.values():
         for x in t:

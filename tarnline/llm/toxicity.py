@@ -17,6 +17,7 @@ labels of a doc_id count as toxic if one is. Columns other than doc_id and text
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnline.llm.common import held_out, slices
+from tarnline.llm.common import bounded, held_out, slices
 
-SAMPLE = 6000
-BYTES = 48_000_000
+SAMPLE = 3000
+BYTES = 32_000_000
+BINS = 1 << 21
 FROM, TO = 4, 8
 MIN_TEXTS = 5
 FEATURES = 4000
@@ -64,12 +66,14 @@ class Model:
 
 
 class _Hits(dict):
-    def __init__(self, weights: dict[str, float]):
+    """Features of a piece of text that are known, by themselves or by what `of` makes of them; at most CACHE pieces are kept."""
+
+    def __init__(self, known, of=lambda f: f):
         super().__init__()
-        self.weights = weights
+        self.known, self.of = known, of
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        found = tuple(f for f in features(word) if f in self.weights)
+        found = tuple(f for f in features(word) if self.of(f) in self.known)
         if len(self) < CACHE:
             self[word] = found
         return found
@@ -87,6 +91,37 @@ def logits(texts: list[str | None], model: Model, hits: _Hits) -> np.ndarray:
     return out
 
 
+def _bin(feature: str) -> int:
+    return zlib.crc32(feature.encode()) & (BINS - 1)
+
+
+def _binned(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many texts, and toxic texts, each bin of features occurs."""
+    count, positive = np.zeros(BINS, np.int32), np.zeros(BINS, np.int32)
+    known: dict[str, list[int]] = {}
+    for text, y in zip(texts, toxic.tolist(), strict=True):
+        found: list[int] = []
+        for w in set(text.lower().split()):
+            if (b := known.get(w)) is None:
+                b = [_bin(f) for f in features(w)]
+                if len(known) < CACHE // 4:
+                    known[w] = b
+            found += b
+        at = np.unique(np.array(found, np.int64))
+        count[at] += 1
+        if y:
+            positive[at] += 1
+    return count, positive
+
+
+def _best(count: np.ndarray, positive: np.ndarray, n: int, p: int) -> np.ndarray:
+    """The FEATURES places of largest chi-square between presence and label among those in MIN_TEXTS texts at least."""
+    at = np.flatnonzero(count >= MIN_TEXTS)
+    c, both = count[at].astype(float), positive[at].astype(float)
+    chi = n * (both * (n - p) - (c - both) * p) ** 2 / np.maximum(c * (n - c) * p * (n - p), 1)
+    return at[np.argsort(-chi, kind="stable")[:FEATURES]]
+
+
 def _rows(sets: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     pairs = [(i, index[f]) for i, s in enumerate(sets) for f in s if f in index]
     table = np.array(pairs, np.int64).reshape(-1, 2)
@@ -98,20 +133,21 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     if not len(texts) or toxic.min() == toxic.max():
         rate = float(toxic[0]) if len(texts) else 0.0
         return Model({}, 40.0 if rate else -40.0)
-    sets = [{f for w in set(t.lower().split()) for f in features(w)} for t in texts]
+    # First by bins of features, so that what is held does not grow with the kinds of words; then by features of the best bins.
+    terms = {f for group in IDENTITY for t in group for f in features(t)}
+    y = toxic.astype(bool)
+    best = set(_best(*_binned(texts, y), len(texts), int(y.sum())).tolist()) | {_bin(f) for f in terms}
+    hits = _Hits(best, _bin)
+    sets = [{f for w in set(t.lower().split()) for f in hits[w]} for t in texts]
     count, positive = Counter(), Counter()
-    for s, y in zip(sets, toxic.tolist(), strict=True):
+    for s, of_toxic in zip(sets, y.tolist(), strict=True):
         count.update(s)
-        if y:
+        if of_toxic:
             positive.update(s)
-    names = sorted(f for f, c in count.items() if c >= MIN_TEXTS)
-    n, p = len(sets), int(toxic.sum())
-    both = np.array([positive[f] for f in names], float)
-    c = np.array([count[f] for f in names], float)
-    chi = n * (both * (n - p) - (c - both) * p) ** 2 / np.maximum(c * (n - c) * p * (n - p), 1)
-    chosen = [names[k] for k in np.argsort(-chi, kind="stable")[:FEATURES]]
-    terms = [t for group in IDENTITY for t in group]
-    chosen = list(dict.fromkeys(chosen + [f for t in terms for f in features(t)]))
+    names = sorted(count)
+    n = len(sets)
+    order = _best(np.array([count[f] for f in names]), np.array([positive[f] for f in names]), n, int(y.sum()))
+    chosen = list(dict.fromkeys([names[k] for k in order.tolist()] + sorted(terms)))
     index = {f: k for k, f in enumerate(chosen)}
     row, column = _rows(sets, index)
     # Counterfactual pairs: what changes when one identity term takes another's place.
@@ -153,12 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     totals = {r.toxic: r["count"] for r in both.groupBy("toxic").count().collect()}
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = {r.doc_id: r.toxic for r in both.select("doc_id", "toxic", F.row_number().over(first).alias("r")).where(F.col("r") <= sample).collect()}
-    picked = docs.where(F.col("doc_id").isin(list(ids))).withColumn("h", F.xxhash64("doc_id"))
-    rows, size = [], 0
-    for r in sorted(picked.select("doc_id", "h", "text").collect(), key=lambda r: (r.h, r.doc_id, r.text)):
-        if size < most:
-            rows.append(r)
-            size += len(r.text)
+    rows = bounded(docs.where(F.col("doc_id").isin(list(ids))).select("doc_id", "text"), most)
     toxic = np.array([ids[r.doc_id] for r in rows], float)
     n = Counter(toxic.tolist())
     return fit([r.text for r in rows], toxic, np.array([totals[int(y)] / n[y] for y in toxic.tolist()]))
