@@ -8,11 +8,11 @@ run only if they have paths with the same anchor.
 
 1. Anchors are counted with map-side aggregation, and paths whose anchor is in one document alone are left out. Of the others, paths
    with the same words (96 bits of two independent hashes of all their words, by which spans are verified) are counted: the smallest
-   document that has each, where, and the largest.
+   document that has each, and the largest.
 2. Each path of a document that a smaller document also has goes as a whole, through a join of documents' paths with the repeated ones.
-3. Of anchors that have several different paths in several documents, one source of each path is opened again by its
-   coordinates and its edges compared one by one: where a copied passage begins or ends, paths agree in part. Sources that
-   are not the first document with a certain edge lose it. Other documents with the same path are covered by 2.
+3. Of anchors that have several different paths in several documents, each path is opened again by its coordinates in the
+   smallest document that has it, wherever it stands there, and its edges compared one by one: where a copied passage begins or
+   ends, paths agree in part. Sources that are not the first document with a certain edge lose it. Other documents with the same path are covered by 2.
 4. Coordinates are gathered by document, joined with the texts, and the words they cover leave.
 
 The shuffled rows are one a path, about 0.06 a word, and those of 3; texts are dealt by doc_id once for 3 and 4.
@@ -152,12 +152,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     # Only anchors of several documents can have repeated edges; all that follows has their paths alone.
     shared = paths.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     paths = written(paths.join(shared, "anchor", "left_semi"))
-    known = paths.groupBy("h1", "h2").agg(F.min("anchor").alias("anchor"), F.min("doc_id").alias("first"), F.min_by("pos", "doc_id").alias("pos"), F.max("doc_id").alias("last"), F.max("edges").alias("edges"))
+    known = paths.groupBy("h1", "h2").agg(F.min("anchor").alias("anchor"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     known = written(known)
     whole = paths.join(known.where("first < last").select("h1", "h2", "first"), ["h1", "h2"]).where("doc_id > first").select("doc_id", "pos", "edges")
-    # Anchors with several paths: one source each, its edges compared one by one.
+    # Anchors with several paths: all places of each in its first document, their edges compared one by one.
     forked = known.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("n > 1 AND lo < hi").select("anchor")
-    sources = known.join(forked, "anchor", "left_semi").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("pos", "edges")).alias("sources"))
+    opened = known.join(forked, "anchor", "left_semi").select("h1", "h2", F.col("first").alias("doc_id"))
+    sources = paths.join(opened, ["h1", "h2", "doc_id"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "edges")).alias("sources"))
     edges = docs.join(sources.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "sources").mapInArrow(_opened(window), "doc_id long, pos int, h1 long, h2 int")
     owners = edges.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
     single = edges.join(owners, ["h1", "h2"]).where("doc_id > first").select("doc_id", "pos", F.lit(1).alias("edges"))

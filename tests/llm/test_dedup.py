@@ -68,6 +68,19 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_substring_dedup_repeats_within_a_document(spark):
+    def some(k, n):
+        return [f"{k}{j}" for j in range(n)]
+
+    a, b, x, y = some("a", 30), some("b", 40), some("x", 60), some("y", 75)
+    docs = [(0, x), (1, (a + x + b) * 20), (2, x * 20), (3, some("c", 20) + y), (4, (a + y + y[:55] + b) * 7 + x[5:] * 3), (5, (y[10:] + a) * 9 + x), (6, (a + x + b) * 2)]
+    docs = [(d, " ".join(t)) for d, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(df, texts=False).collect()}
+    assert got == brute_spans(docs, 50)
+    assert got[1][1] == 1200
+
+
 def test_without_repeats_keeps_columns(spark):
     long = " ".join(map(str, range(60)))
     df = spark.createDataFrame([(1, long, "a", 9), (2, long + " tail", "b", 9), (None, None, "c", None)], "doc_id long, text string, spans string, n_chars long")
