@@ -6,10 +6,10 @@ plus kinds, to the context one byte shorter, where bytes already seen above are
 equally likely. The code length of a text under a language is the sum of minus log2 of those; the language of the shortest code
 wins, and its score is its share of the probability that the codes give all languages.
 
-Frozen statistics make a byte's code length a function of it and the ORDER bytes before, so that the trees are kept expanded, as one
-table of code lengths for all languages, and a text is scored by looking up each byte. Bytes are of case-folded UTF-8; the
-SYMBOLS - 1 commonest of the sample have a symbol each, and others share the last and spell out which they are at a fixed price.
-The table's size depends on SYMBOLS, ORDER and the number of languages alone.
+Frozen statistics make a byte's code length a function of it and the ORDER bytes before, so that the trees are kept expanded: a row of
+code lengths for all languages and bytes for each context that the sample has, and the row of the longest such context for each ORDER bytes. A
+text is scored by looking up each byte. Bytes are of case-folded UTF-8; every byte of the sample has a symbol of its own. Those it does not have are
+alike under all languages, so that one symbol holds their lot. The table's size depends on the contexts and bytes in the sample alone.
 
 Learning takes the PER_LANGUAGE rows of each language that come first by a hash of doc_id, whole texts, at most BYTES in all but
 one text more. Rows with a null lang, text or doc_id teach nothing. A text that is null or has no letter is `und` with score 0, as are
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from tarnline.llm.common import bounded, held_out, slices
 
 ORDER = 3
-SYMBOLS = 40
 PER_LANGUAGE = 400
 BYTES = 3_000_000
 UNKNOWN = "und"
@@ -43,29 +42,55 @@ _SPACE = ord(" ")
 class Model:
     languages: list[str]
     symbol: np.ndarray  # of each byte
-    bits: np.ndarray  # code lengths, by ORDER + 1 symbols and language
+    place: np.ndarray  # of each ORDER symbols: the row of the longest context known that they end with
+    bits: np.ndarray  # code lengths, by row and symbol, and language
 
 
-def code_lengths(symbols: list[np.ndarray], n: int, order: int) -> np.ndarray:
-    """Bits of the last of order + 1 symbols under the ones before, for the texts given; index in base n, oldest first."""
-    grams = np.zeros(n ** (order + 1), np.int64)
-    for text in symbols:
-        index = np.zeros(len(text) - order, np.int64)
+def _grams(texts: list[np.ndarray], n: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of order + 1 symbols, as indices in base n, oldest first, and how often each occurs."""
+    kinds, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for text in texts:
+        index = np.zeros(max(0, len(text) - order), np.int64)
         for k in range(order + 1):
-            index = index * n + text[k : len(text) - order + k]
-        grams += np.bincount(index, minlength=len(grams))
-    below = np.full((1, n), 1 / n)
+            index = index * n + text[k : k + len(index)]
+        kind, count = np.unique(index, return_counts=True)
+        kinds.append(kind)
+        counts.append(count)
+    kind, at = np.unique(np.concatenate(kinds), return_inverse=True)
+    return kind, np.bincount(at, np.concatenate(counts), len(kind)).astype(np.int64)
+
+
+def trees(texts: list[list[np.ndarray]], n: int, order: int, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """place and bits of a Model of the languages' texts in n symbols; root has the probabilities without any statistics."""
+    grams = [_grams(t, n, order) for t in texts]
+    below = [root.reshape(1, n)] * len(grams)
+    place, first, levels = np.zeros(n**order, np.int32), 0, []
+    shorter_contexts = np.zeros(1, np.int64)
     for k in range(order + 1):
-        count = grams.reshape(n ** (order - k), n**k, n).sum(axis=0)
-        seen = count > 0
-        kinds, total = seen.sum(axis=1, keepdims=True), count.sum(axis=1, keepdims=True)
-        shorter = np.tile(below, (n if k else 1, 1))
-        rest = np.where(seen, 0, shorter).sum(axis=1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            here = np.where(seen, count / (total + kinds), kinds / (total + kinds) * shorter / rest)
-            full = count / total  # a context in which every symbol was seen has none to escape to
-        below = np.where(kinds == 0, shorter, np.where(kinds == n, full, here))
-    return -np.log2(below).reshape(-1)
+        found = [kind % n ** (k + 1) for kind, _ in grams]
+        contexts = np.unique(np.concatenate([np.zeros(int(k == 0), np.int64), *(f // n for f in found)]))
+        suffix = np.searchsorted(shorter_contexts, contexts % n ** max(0, k - 1))
+        here = []
+        for f, (_, c), less in zip(found, grams, below, strict=True):
+            count = np.bincount(np.searchsorted(contexts, f // n) * n + f % n, c, len(contexts) * n).reshape(-1, n)
+            shorter, seen = less[suffix], count > 0
+            kinds, total = seen.sum(axis=1, keepdims=True), count.sum(axis=1, keepdims=True)
+            rest = np.where(seen, 0, shorter).sum(axis=1, keepdims=True)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                part = np.where(seen, count / (total + kinds), kinds / (total + kinds) * shorter / rest)
+                full = count / total  # a context in which every symbol was seen has none to escape to
+            here.append(np.where(kinds == 0, shorter, np.where(kinds == n, full, part)))
+        place.reshape(-1, n**k)[:, contexts] = np.arange(first, first + len(contexts), dtype=np.int32)
+        first += len(contexts)
+        levels.append(np.stack([-np.log2(h).reshape(-1) for h in here], axis=1) if here else np.zeros((len(contexts) * n, 0)))
+        below, shorter_contexts = here, contexts
+    return place, np.concatenate(levels)
+
+
+def code_lengths(symbols: list[np.ndarray], n: int, order: int) -> np.ndarray:
+    """Bits of the last of order + 1 symbols under the ones before, for the texts given; index in base n, oldest first."""
+    place, bits = trees([symbols], n, order, np.full(n, 1 / n))
+    return bits.reshape(-1, n)[place].reshape(-1)
 
 
 def _sample(docs: DataFrame, per_language: int, most: int) -> dict[str, list[str]]:
@@ -78,7 +103,7 @@ def _sample(docs: DataFrame, per_language: int, most: int) -> dict[str, list[str
     return {k: [r.text for r in bounded(some.where((F.col("lang") == k) & F.col("doc_id").isin(v)).select("doc_id", "text"), most)] for k, v in sorted(ids.items())}
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, symbols: int = SYMBOLS, most: int = BYTES) -> Model:
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, most: int = BYTES) -> Model:
     """A model of the languages in docs(doc_id, text, lang), from rows that are not held out."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     texts = {k: [b" " * order + t.lower().encode() for t in v] for k, v in _sample(docs, per_language, most).items()}
@@ -87,21 +112,20 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER,
         for x in t:
             counts += np.bincount(np.frombuffer(x, np.uint8), minlength=256)
     counts[_SPACE] += 1
-    common = np.lexsort((np.arange(256), -counts))[: symbols - 1]
-    symbol = np.full(256, len(common), np.uint8)
-    symbol[common] = np.arange(len(common))
-    n = len(common) + 1
+    own = np.flatnonzero(counts)
+    symbol = np.full(256, len(own), np.uint8)
+    symbol[own] = np.arange(len(own))
+    n = len(own) + 1  # UTF-8 never has all bytes
     languages = sorted(texts)
-    bits = np.zeros((n ** (order + 1), len(languages)), np.float32)
-    for k, lang in enumerate(languages):
-        bits[:, k] = code_lengths([symbol[np.frombuffer(x, np.uint8)].astype(np.int64) for x in texts[lang]], n, order)
-    return Model(languages, symbol, bits)
+    root = np.append(np.full(n - 1, 1 / 256), (257 - n) / 256)
+    place, bits = trees([[symbol[np.frombuffer(x, np.uint8)].astype(np.int64) for x in texts[k]] for k in languages], n, order, root)
+    return Model(languages, symbol, place, bits.astype(np.float32))
 
 
 def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """The language and the score of each text."""
     n, order = int(model.symbol.max()) + 1, 0
-    while n ** (order + 1) < len(model.bits):
+    while n**order < len(model.place):
         order += 1
     found = [bool(t) and _LETTER.search(t) is not None and bool(model.languages) for t in texts]
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -112,9 +136,10 @@ def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]
     data = [texts[k].lower().encode() for k in at]
     s = model.symbol[np.frombuffer(pad + pad.join(data), np.uint8)].astype(np.int64)
     index = np.zeros(len(s) - order, np.int64)
-    for k in range(order + 1):
+    for k in range(order):
         index *= n
         index += s[k : len(s) - order + k]
+    index = model.place[index] * np.int64(n) + s[order:]
     size = np.fromiter(map(len, data), np.int64, len(data))
     start = np.cumsum(size + order) - size - order
     bits = model.bits[index]

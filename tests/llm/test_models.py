@@ -54,6 +54,44 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.identify(docs, none).collect()} == {"und"}
 
 
+def ppm_bits(train, text, order=3):
+    """Bits of text under byte trees of the texts in train, all 256 bytes alike at the root."""
+    pad = b" " * order
+    trees = [{} for _ in range(order + 1)]
+    for x in (pad + t.encode() for t in train):
+        for i in range(order, len(x)):
+            for k in range(order + 1):
+                seen = trees[k].setdefault(x[i - k : i], {})
+                seen[x[i]] = seen.get(x[i], 0) + 1
+
+    def shares(context):
+        shorter = shares(context[1:]) if context else [1 / 256] * 256
+        seen = trees[len(context)].get(context)
+        if not seen:
+            return shorter
+        whole, rest = sum(seen.values()) + len(seen), sum(p for b, p in enumerate(shorter) if b not in seen)
+        return [seen[b] / whole if b in seen else len(seen) / whole * p / rest for b, p in enumerate(shorter)]
+
+    x = pad + text.encode()
+    return -sum(math.log2(shares(x[i - order : i])[x[i]]) for i in range(order, len(x)))
+
+
+def test_language_of_rare_bytes(spark):
+    filler = "".join(map(chr, range(0x21, 0x41))) + "abcdefghi"
+    train = {"aa": [filler * 3 + " xq zk"] * 4, "bb": [filler * 3 + " qx kz", filler + " ж"] * 2}
+    rows = [(k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang, texts in train.items() for t in texts * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    held = {r.doc_id for r in language_id.identify(docs, model).where("held_out").collect()}
+    used = {lang: [t for k, t, x in rows if x == lang and k not in held] for lang in train}
+    texts = ["xq", "zk", "qx", "kz", "xqzk kz", "ж", "世q", "a=b x"]
+    names, scores = language_id.score(texts, model)
+    assert names[:4] == ["aa", "aa", "bb", "bb"]
+    for text, name, p in zip(texts, names, scores.tolist(), strict=True):
+        a, b = (ppm_bits(used[lang], text) for lang in ("aa", "bb"))
+        assert name == ("aa" if a <= b else "bb") and math.isclose(p, 1 / (1 + 2 ** -abs(a - b)), rel_tol=1e-4)
+
+
 @needs_data
 def test_toxicity_held_out(spark):
     data = "/root/testdata/sf0.1"
