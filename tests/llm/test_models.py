@@ -147,11 +147,12 @@ def brute_nearest(ids, x, q, k):
 
 
 @needs_data
-def test_nearest_recall(spark):
+@pytest.mark.parametrize("data", [DATA, "/root/testdata/sf0.1"])
+def test_nearest_recall(spark, data):
     found = {}
-    for r in QUERIES["op8_nearest"](spark, DATA).collect():
+    for r in QUERIES["op8_nearest"](spark, data).collect():
         found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{DATA}/embeddings.parquet'").fetchall()
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{data}/embeddings.parquet'").fetchall()
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
     hits = total = 0
     for q, got in found.items():
@@ -163,8 +164,41 @@ def test_nearest_recall(spark):
     assert hits >= 0.9 * total and len(found) == (ids % 100 == 0).sum()
 
 
+def test_nearest_prunes_clusters(spark):
+    """Recall on queries that the tree has not seen, where few of the leaves are visited."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 24))[rng.integers(0, 300, 12_000)] + 0.25 * rng.normal(size=(12_000, 24))
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(df, F.col("vec_id") % 40 == 0, sample=3000).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    ids = np.arange(len(x))
+    hits = [len(got[q] & {v for v, _ in brute_nearest(ids, x, q, 10)}) for q in range(0, len(x), 40)]
+    assert sum(hits) >= 0.9 * 10 * len(hits)
+    flat = df.select("vec_id", F.col("embedding").alias("v"))
+    _, tree, wide = nearest.fitted(flat, len(x), 10, 3000, nearest.LEAF_ROWS, nearest.TARGET, 200)
+    rows = np.bincount(tree.assign(x), minlength=tree.leaves)
+    assert np.mean([rows[tree.visits(x[q], wide)].sum() for q in range(0, len(x), 40)]) <= 0.1 * len(x)
+
+
+def test_nearest_repeated_and_huge(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 3)) * np.where(np.arange(60) % 7 == 0, 1e300, 1.0)[:, None]
+    rows = [(k, v) for k, v in enumerate(x.tolist())] + [(5, x[9].tolist()), (5, x[5].tolist()), (0, x[3].tolist())]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, bin int, query_id int")
+    got = nearest.search(df, F.col("vec_id") < 10, k=4, target=1.0).collect()
+    with np.errstate(over="ignore"):
+        for q in {r.query_id for r in got}:
+            for own in [v for k, v in rows if k == q][:1]:
+                true = sorted((float(nearest.distances(np.array(own), np.array([v]))[0]), k) for k, v in rows if k != q)[:4]
+                if q not in (0, 5):
+                    assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(k, d) for d, k in true]
+    assert {r.query_id for r in got} == set(range(10)) and all(np.isfinite(r.score) for r in got)
+
+
 def test_nearest_hot_and_bad_vectors(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "BLOCK", 64)
+    monkeypatch.setattr(nearest, "BIN", 64)
+    monkeypatch.setattr(nearest, "ASKS", 2)
     rng = np.random.default_rng(2)
     same = [float(v) for v in rng.normal(size=8)]
     rows = [(k, same if k % 3 == 0 else [float(v) for v in rng.normal(size=8)], "x") for k in range(900)]
