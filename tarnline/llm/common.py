@@ -8,16 +8,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new name under the folder that all executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """A new name under the folder that all executors share (spark.checkpoint.dir).
+
+    Where that is unset, a temporary folder serves a session whose executors are threads of the driver; any other session fails.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tarnline.shared.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tarnline-")
         spark.conf.set("spark.tarnline.shared.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -49,16 +54,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def bounded(picked: DataFrame, most: int) -> list:
-    """Rows of picked(doc_id, text) by a hash of doc_id, whole texts, as long as those before have less than `most` bytes; a bounded sample's."""
-    sizes = picked.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).collect()
-    total, ids = 0, set()
-    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
-        if total < most:
-            ids.add(r.doc_id)
-            total += r.n
-    rows = picked.where(F.col("doc_id").isin(list(ids))).collect()
-    return sorted(rows, key=lambda r: (r.doc_id, r.text))
+def first_by_hash(rows: DataFrame, group: str, n: int) -> DataFrame:
+    """rows(doc_id, group, ...) with rank: the n of each group that come first by a hash of doc_id, ties by the other columns.
+
+    Groups are counted first, and rows beyond a hash by which n are most likely met never leave the task that reads them, so that what is
+    ranked has about n rows a group however large the group is. The groups' counts are collected: one row a group.
+    """
+    share = lambda total: min(1.0, (n + 4 * n**0.5 + 20) / total)
+    counts = [(r[0], min(int(share(r[1]) * 2**63), 2**63 - 1)) for r in rows.groupBy(group).count().collect()]
+    limits = rows.sparkSession.createDataFrame(counts, f"__group {rows.schema[group].dataType.simpleString()}, __most long")
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    some = rows.join(F.broadcast(limits), F.col(group) == F.col("__group")).where(h <= F.col("__most")).drop("__group", "__most")
+    order = Window.partitionBy(group).orderBy(h, *rows.columns)
+    return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 class Powers:

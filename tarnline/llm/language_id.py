@@ -2,166 +2,250 @@
 
 For each language a context tree of the last ORDER bytes, with counts frozen after learning. A byte's probability under the longest
 context is its count over counts plus kinds seen there; an unseen byte escapes, with probability kinds over counts
-plus kinds, to the context one byte shorter, where bytes already seen above are excluded; at the root all bytes are
+plus kinds, to the context one byte shorter, where bytes already seen above are excluded; at the root all 256 bytes are
 equally likely. The code length of a text under a language is the sum of minus log2 of those; the language of the shortest code
 wins, and its score is its share of the probability that the codes give all languages.
 
-Frozen statistics make a byte's code length a function of it and the ORDER bytes before, so that the trees are kept expanded: a row of
-code lengths for all languages and bytes for each context that the sample has, and the row of the longest such context for each ORDER bytes. A
-text is scored by looking up each byte. Bytes are of case-folded UTF-8; every byte of the sample has a symbol of its own. Those it does not have are
-alike under all languages, so that one symbol holds their lot. The table's size depends on the contexts and bytes in the sample alone.
+Frozen statistics make the cost of an escape with its exclusions a number of the context alone, so that trees are kept sparse: for each run of
+bytes that any language has, the code length of its last byte under every language; for each context, the cost of leaving it, nothing under a
+language that has not met it. A byte is looked up by its longest run; where no language has that, the next shorter one follows. Both
+are hash tables of arrays, of as many rows as the sample has runs of ORDER + 1 bytes or fewer. Bytes are of case-folded UTF-8.
 
-Learning takes the PER_LANGUAGE rows of each language that come first by a hash of doc_id, whole texts, at most BYTES in all but
-one text more. Rows with a null lang, text or doc_id teach nothing. A text that is null or has no letter is `und` with score 0, as are
-all where nothing could be learned. Rows of null doc_id are predicted like others. Ties go to the language first in order. Other
-columns are not read.
+Learning takes the PER_LANGUAGE rows of each language that come first by a hash of doc_id, whole texts. Their runs are counted where the texts are
+read, and the counts alone reach the driver, once for all languages. The model's size is checked: above MODEL_BYTES learning
+fails and asks for less. Membership of a language, which the pipeline asks for, is judged by bits a byte: a text is known if its code is no longer than
+SPREAD standard deviations, and ROOM bits a byte at least, above the mean of CHECKS more rows of that language, with SLACK bits for short texts.
+
+Rows with a null lang, text or doc_id teach nothing. A text that is null or has no letter is `und` with score 0, as are
+all where nothing could be learned. Rows of null doc_id are predicted like others; repeated rows alike; of repeated doc_ids in the sample, each
+row counts. Very long texts are scored whole, in pieces. Ties go to the language first in order. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnline.llm.common import bounded, held_out, slices
+from tarnline.llm.common import first_by_hash, held_out, slices, written
 
-ORDER = 3
+ORDER = 4
 PER_LANGUAGE = 400
-BYTES = 3_000_000
+CHECKS = 100
+SPREAD = 8.0
+ROOM = 1.5
+SLACK = 64.0
+MODEL_BYTES = 256 << 20
+PIECE = 1 << 18
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_SPACE = ord(" ")
+_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+class Table:
+    """Rows by 64-bit key: open addressing in arrays, so that many keys are looked up at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(2 * len(keys) + 1).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.mask = size - 1
+        self.key, self.row = np.full(size, _EMPTY), np.full(size, -1, np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = np.flatnonzero(self.row[slot] < 0)
+            self.row[slot[free]] = todo[free]  # of several for one slot the last stays
+            self.key[slot[free]] = keys[todo[free]]
+            left = self.row[slot] != todo
+            todo, slot = todo[left], (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        slot = self._slot(keys)
+        held = self.key[slot]
+        out = np.where(held == keys, self.row[slot], -1)
+        at = np.flatnonzero((held != keys) & (held != _EMPTY))
+        slot = slot[at]
+        while len(at):
+            slot = (slot + 1) & self.mask
+            held = self.key[slot]
+            hit = held == keys[at]
+            out[at[hit]] = self.row[slot[hit]]
+            left = ~hit & (held != _EMPTY)
+            at, slot = at[left], slot[left]
+        return out
 
 
 @dataclass
 class Model:
     languages: list[str]
-    symbol: np.ndarray  # of each byte
-    place: np.ndarray  # of each ORDER symbols: the row of the longest context known that they end with
-    bits: np.ndarray  # code lengths, by row and symbol, and language
-
-
-def _grams(texts: list[np.ndarray], n: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of order + 1 symbols, as indices in base n, oldest first, and how often each occurs."""
-    kinds, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for text in texts:
-        index = np.zeros(max(0, len(text) - order), np.int64)
-        for k in range(order + 1):
-            index = index * n + text[k : k + len(index)]
-        kind, count = np.unique(index, return_counts=True)
-        kinds.append(kind)
-        counts.append(count)
-    kind, at = np.unique(np.concatenate(kinds), return_inverse=True)
-    return kind, np.bincount(at, np.concatenate(counts), len(kind)).astype(np.int64)
-
-
-def trees(texts: list[list[np.ndarray]], n: int, order: int, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """place and bits of a Model of the languages' texts in n symbols; root has the probabilities without any statistics."""
-    grams = [_grams(t, n, order) for t in texts]
-    below = [root.reshape(1, n)] * len(grams)
-    place, first, levels = np.zeros(n**order, np.int32), 0, []
-    shorter_contexts = np.zeros(1, np.int64)
+    order: int
+    #: Of 0 to order bytes of context: runs one byte longer, with code lengths by language; contexts, with the cost to leave them.
+    runs: list[Table] = field(default_factory=list)
+    bits: list[np.ndarray] = field(default_factory=list)
+    contexts: list[Table] = field(default_factory=list)
+    leave: list[np.ndarray] = field(default_factory=list)
+    #: Of each language, the most bits a byte that its texts need.
+    most: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def code(self, keys: np.ndarray) -> np.ndarray:
+        """Bits by language of the last byte of each run of order + 1 bytes, given as a number, oldest byte first."""
+        out = np.zeros((len(keys), len(self.languages)), np.float32)
+        todo = np.arange(len(keys))
+        for k in range(self.order, -1, -1):
+            key = keys[todo] if k == self.order else keys[todo] & np.uint64((1 << (8 * k + 8)) - 1)
+            row = self.runs[k].find(key)
+            hit = row >= 0
+            if k == self.order:
+                out[hit] = self.bits[k][row[hit]]
+            else:
+                out[todo[hit]] += self.bits[k][row[hit]]
+            todo, key = todo[~hit], key[~hit]
+            if not len(todo):
+                return out
+            row = self.contexts[k].find(key >> np.uint64(8))
+            seen = row >= 0
+            out[todo[seen]] += self.leave[k][row[seen]]
+        out[todo] += 8
+        return out
+
+
+def trees(counts: list[tuple[np.ndarray, np.ndarray]], order: int) -> Model:
+    """A model without names or limits, of each language's runs of order + 1 bytes and their counts; runs are numbers, oldest byte first."""
+    model = Model([""] * len(counts), order)
+    below: np.ndarray | None = None
     for k in range(order + 1):
-        found = [kind % n ** (k + 1) for kind, _ in grams]
-        contexts = np.unique(np.concatenate([np.zeros(int(k == 0), np.int64), *(f // n for f in found)]))
-        suffix = np.searchsorted(shorter_contexts, contexts % n ** max(0, k - 1))
-        here = []
-        for f, (_, c), less in zip(found, grams, below, strict=True):
-            count = np.bincount(np.searchsorted(contexts, f // n) * n + f % n, c, len(contexts) * n).reshape(-1, n)
-            shorter, seen = less[suffix], count > 0
-            kinds, total = seen.sum(axis=1, keepdims=True), count.sum(axis=1, keepdims=True)
-            rest = np.where(seen, 0, shorter).sum(axis=1, keepdims=True)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                part = np.where(seen, count / (total + kinds), kinds / (total + kinds) * shorter / rest)
-                full = count / total  # a context in which every symbol was seen has none to escape to
-            here.append(np.where(kinds == 0, shorter, np.where(kinds == n, full, part)))
-        place.reshape(-1, n**k)[:, contexts] = np.arange(first, first + len(contexts), dtype=np.int32)
-        first += len(contexts)
-        levels.append(np.stack([-np.log2(h).reshape(-1) for h in here], axis=1) if here else np.zeros((len(contexts) * n, 0)))
-        below, shorter_contexts = here, contexts
-    return place, np.concatenate(levels)
-
-
-def code_lengths(symbols: list[np.ndarray], n: int, order: int) -> np.ndarray:
-    """Bits of the last of order + 1 symbols under the ones before, for the texts given; index in base n, oldest first."""
-    place, bits = trees([symbols], n, order, np.full(n, 1 / n))
-    return bits.reshape(-1, n)[place].reshape(-1)
-
-
-def _sample(docs: DataFrame, per_language: int, most: int) -> dict[str, list[str]]:
-    """The texts to learn from, by language; ids are chosen first, without the texts."""
-    some = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids: dict[str, list[int]] = {}
-    for r in some.select("lang", "doc_id", F.row_number().over(first).alias("r")).where(F.col("r") <= per_language).collect():
-        ids.setdefault(r.lang, []).append(r.doc_id)
-    return {k: [r.text for r in bounded(some.where((F.col("lang") == k) & F.col("doc_id").isin(v)).select("doc_id", "text"), most)] for k, v in sorted(ids.items())}
+        cut = np.uint64((1 << (8 * k + 8)) - 1)
+        own = []
+        for run, count in counts:
+            kind, at = np.unique(run & cut, return_inverse=True)
+            own.append((kind, np.bincount(at, count, len(kind))))
+        kinds = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r for r, _ in own)]))
+        places = np.unique(kinds >> np.uint64(8))
+        bits, leave = np.zeros((len(kinds), len(own))), np.zeros((len(places), len(own)))
+        of = np.searchsorted(places, kinds >> np.uint64(8))
+        # What a byte costs one context shorter, for each language.
+        shorter = np.full((len(kinds), len(own)), 8.0) if below is None else below[model.runs[k - 1].find(kinds & np.uint64((1 << (8 * k)) - 1))]
+        for j, (run, count) in enumerate(own):
+            at = np.searchsorted(kinds, run)
+            total = np.bincount(of[at], count, len(places))
+            seen = np.bincount(of[at], minlength=len(places))
+            excluded = np.bincount(of[at], np.exp2(-shorter[at, j]), len(places))
+            met = seen > 0
+            escape = np.where(seen < 256, seen, 0) / np.maximum(total + seen, 1)
+            with np.errstate(divide="ignore"):
+                leave[met, j] = -np.log2(escape[met] / np.maximum(1 - excluded[met], 2.0**-60))
+            bits[:, j] = leave[of, j] + shorter[:, j]
+            bits[at, j] = -np.log2(count / (total + np.where(seen < 256, seen, 0))[of[at]])
+        model.runs.append(Table(kinds))
+        model.contexts.append(Table(places))
+        model.bits.append(bits.astype(np.float32))
+        model.leave.append(leave.astype(np.float32))
+        below = bits
+    return model
+
+
+def _numbers(text: bytes, order: int) -> np.ndarray:
+    """All runs of order + 1 bytes as numbers, oldest byte first."""
+    data = np.frombuffer(text, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(data) - order), np.uint64)
+    for k in range(order + 1):
+        out = (out << np.uint64(8)) | data[k : k + len(out)]
+    return out
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, most: int = BYTES) -> Model:
-    """A model of the languages in docs(doc_id, text, lang), from rows that are not held out."""
+def _folded(text: str, order: int) -> bytes:
+    return b" " * order + text.lower().encode()
+
+
+def _counted(order: int):
+    """lang, run, n of texts with their lang: counted in each batch."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            texts = batch.column("text").to_pylist()
+            for name in dict.fromkeys(langs):
+                run, n = np.unique(np.concatenate([_numbers(_folded(t, order), order) for t, own in zip(texts, langs, strict=True) if own == name]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(run), pa.string()), pa.array(run.view(np.int64)), pa.array(n)], ["lang", "run", "n"])
+
+    return counted
+
+
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, checks: int = CHECKS) -> Model:
+    """A model of the languages in docs(doc_id, text, lang), from rows that are not held out. order: 7 at most."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    texts = {k: [b" " * order + t.lower().encode() for t in v] for k, v in _sample(docs, per_language, most).items()}
-    counts = np.zeros(256, np.int64)
-    for t in texts.values():
-        for x in t:
-            counts += np.bincount(np.frombuffer(x, np.uint8), minlength=256)
-    counts[_SPACE] += 1
-    own = np.flatnonzero(counts)
-    symbol = np.full(256, len(own), np.uint8)
-    symbol[own] = np.arange(len(own))
-    n = len(own) + 1  # UTF-8 never has all bytes
-    languages = sorted(texts)
-    root = np.append(np.full(n - 1, 1 / 256), (257 - n) / 256)
-    place, bits = trees([[symbol[np.frombuffer(x, np.uint8)].astype(np.int64) for x in texts[k]] for k in languages], n, order, root)
-    return Model(languages, symbol, place, bits.astype(np.float32))
-
-
-def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
-    """The language and the score of each text."""
-    n, order = int(model.symbol.max()) + 1, 0
-    while n**order < len(model.place):
-        order += 1
-    found = [bool(t) and _LETTER.search(t) is not None and bool(model.languages) for t in texts]
+    some = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out())
+    picked = written(first_by_hash(some, "lang", per_language + checks))
+    chosen = picked.where(F.col("rank") <= per_language).select("lang", "text")
+    table = chosen.mapInArrow(_counted(order), "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")).toArrow()
+    names = table["lang"].to_numpy()
+    languages = sorted(set(names.tolist()))
+    run, n = table["run"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    size = len(run) * 2 * (4 * len(languages) + 24)
+    if size > MODEL_BYTES:
+        raise ValueError(f"the trees of {len(languages)} languages would take some {size >> 20} MB; lower per_language or order")
+    model = trees([(run[names == name], n[names == name]) for name in languages], order)
+    model.languages = languages
+    model.most = np.full(len(languages), np.inf)
+    if languages:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def spent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, _, bits, size = score(batch.column("text").to_pylist(), shared.value)
+                of = np.array([shared.value.languages.index(x) if x in shared.value.languages else -1 for x in batch.column("lang").to_pylist()], np.int64)
+                good = np.flatnonzero((size > 0) & (of >= 0))
+                yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(good)), pa.array(bits[good, of[good]] / size[good])], ["lang", "rate"])
+
+        rest = picked.where(F.col("rank") > per_language).select("lang", "text")
+        rates = rest.mapInArrow(spent, "lang string, rate double").groupBy("lang").agg(F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("sd")).collect()
+        for r in rates:  # a language without more rows has no limit
+            model.most[languages.index(r.lang)] = r.mean + max(SPREAD * r.sd, ROOM)
+    return model
+
+
+def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the language, the score, bits by language, and bytes coded: 0 for those that are `und`."""
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    at = [k for k, f in enumerate(found) if f]
+    bits, size = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), np.int64)
+    at = [k for k, t in enumerate(texts) if t and model.languages and _LETTER.search(t) is not None]
+    data = [_folded(texts[k], model.order) for k in at]
+    size[at] = [len(x) - model.order for x in data]
     if not at:
-        return names, scores
-    pad = b" " * order
-    data = [texts[k].lower().encode() for k in at]
-    s = model.symbol[np.frombuffer(pad + pad.join(data), np.uint8)].astype(np.int64)
-    index = np.zeros(len(s) - order, np.int64)
-    for k in range(order):
-        index *= n
-        index += s[k : len(s) - order + k]
-    index = model.place[index] * np.int64(n) + s[order:]
-    size = np.fromiter(map(len, data), np.int64, len(data))
-    start = np.cumsum(size + order) - size - order
-    bits = model.bits[index]
-    for a, b in zip((start + size)[:-1].tolist(), start[1:].tolist(), strict=True):
-        bits[a:b] = 0
-    total = np.add.reduceat(bits.astype(np.float64), start, axis=0)
-    total -= total.min(axis=1, keepdims=True)
-    share = np.exp2(-total)
-    best = total.argmin(axis=1)
-    for k, b, p in zip(at, best.tolist(), (1 / share.sum(axis=1)).tolist(), strict=True):
+        return names, scores, bits, size
+    # All texts one after another, in pieces of a bounded length; runs across two texts count for nothing.
+    whole, start = b"".join(data), np.cumsum([0, *map(len, data)])
+    for a in range(0, len(whole) - model.order, PIECE):
+        part = model.code(_numbers(whole[a : a + PIECE + model.order], model.order))
+        first = int(np.searchsorted(start, a, "right")) - 1
+        last = int(np.searchsorted(start, a + len(part), "left"))
+        for b in start[max(first, 1) : last + 1].tolist():
+            part[max(0, b - model.order - a) : max(0, b - a)] = 0
+        edge = np.maximum(start[first:last] - a, 0)
+        bits[at[first:last]] += np.add.reduceat(part.astype(np.float64), edge, axis=0)
+    gap = bits[at] - bits[at].min(axis=1, keepdims=True)
+    best, share = gap.argmin(axis=1), 1 / np.exp2(-gap).sum(axis=1)
+    for k, b, p in zip(at, best.tolist(), share.tolist(), strict=True):
         names[k], scores[k] = model.languages[b], p
-    return names, scores
+    return names, scores, bits, size
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred, score and the columns of docs named in keep, a row for each of docs(doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by SYMBOLS, ORDER and the languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in slices(batch, "text_", 1 << 19):
-                names, scores = score(run.column("text_").to_pylist(), shared.value)
+                names, scores, _, _ = score(run.column("text_").to_pylist(), shared.value)
                 rest = run.drop_columns(["text_"])
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(names, pa.string()), pa.array(scores)], [*rest.schema.names, "lang_pred", "score"])
 
@@ -170,14 +254,19 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
     return plain.mapInArrow(add, schema)
 
 
-def known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """docs, all columns, of texts in a language of the model with a score of at least `least`."""
+def known(docs: DataFrame, model: Model) -> DataFrame:
+    """docs, all columns, of texts whose code under their language is no longer than that language's texts have."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             for run in slices(batch, "text", 1 << 19):
-                names, scores = score(run.column("text").to_pylist(), shared.value)
-                yield run.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores.tolist(), strict=True)], pa.bool_()))
+                _, _, bits, size = score(run.column("text").to_pylist(), model)
+                good = size > 0
+                if model.languages:
+                    best = bits.argmin(axis=1)
+                    good &= bits[np.arange(len(best)), best] <= model.most[best] * size + SLACK
+                yield run.filter(pa.array(good))
 
     return docs.mapInArrow(keep, docs.schema)

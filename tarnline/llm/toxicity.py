@@ -5,13 +5,16 @@ sample has in at least MIN_TEXTS texts, the FEATURES with the largest chi-square
 always among them.
 
 Counterfactuals: each labelled sample text with an identity term is written again with each other term of the same
-set, and the squared change of its log-odds is added to the loss, PENALTY times. So weights of neutral mentions of groups are drawn
-together, and none of them makes a text toxic by itself.
+set in its place, and the squared change of its log-odds, all features of the new text less those of the old one, is added to the loss, PENALTY
+times. So weights of neutral mentions of groups are drawn together, and none of them makes a text toxic by itself.
 
 Learning takes at most SAMPLE labelled rows of each label, those first by a hash of doc_id, whole texts, weighted by how many rows each
-stands for. Held-out rows and rows with a null label, text or doc_id teach nothing. A null or empty text has the score of no features.
+stands for; this is its only bound. Rows are chosen where they are read, by a limit on the hash, and the sample's texts reach the driver as sets of
+words. Held-out rows and rows with a null label, text or doc_id teach nothing; of rows that repeat a doc_id the least text does. A null or empty text has
+the score of no features.
 Where no row or only one label can be learned from, scores are 0 or the rows' rate. Rows of null doc_id are scored; repeated
-labels of a doc_id count as toxic if one is. Columns other than doc_id and text are not read for scoring.
+labels of a doc_id count as toxic if one is. Texts of any length are scored whole, equal texts alike. Columns other than doc_id and text
+are not read for scoring.
 """
 
 from __future__ import annotations
@@ -24,13 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnline.llm.common import bounded, held_out, slices
+from tarnline.llm.common import first_by_hash, held_out, slices, written
 
 SAMPLE = 3000
-BYTES = 32_000_000
 BINS = 1 << 21
 FROM, TO = 4, 8
 MIN_TEXTS = 5
@@ -45,7 +47,12 @@ IDENTITY = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("black", "white", "asian", "latino"), ("gay", "straight", "lesbian", "bisexual"), ("immigrants", "natives", "refugees"),
-    ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten"), ("schwule", "lesben", "heterosexuelle"), ("einwanderer", "einheimische", "flüchtlinge"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques"), ("gays", "lesbiennes", "hétérosexuels"), ("immigrés", "autochtones", "réfugiés"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niñas", "niños"), ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos"), ("gais", "lesbianas", "heterosexuales"), ("inmigrantes", "nativos", "refugiados"),
 )
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -66,14 +73,14 @@ class Model:
 
 
 class _Hits(dict):
-    """Features of a piece of text that are known, by themselves or by what `of` makes of them; at most CACHE pieces are kept."""
+    """Features of a piece of text that are known; at most CACHE pieces are kept."""
 
-    def __init__(self, known, of=lambda f: f):
+    def __init__(self, known):
         super().__init__()
-        self.known, self.of = known, of
+        self.known = known
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        found = tuple(f for f in features(word) if self.of(f) in self.known)
+        found = tuple(f for f in features(word) if f in self.known)
         if len(self) < CACHE:
             self[word] = found
         return found
@@ -95,23 +102,60 @@ def _bin(feature: str) -> int:
     return zlib.crc32(feature.encode()) & (BINS - 1)
 
 
-def _binned(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In how many texts, and toxic texts, each bin of features occurs."""
-    count, positive = np.zeros(BINS, np.int32), np.zeros(BINS, np.int32)
-    known: dict[str, list[int]] = {}
-    for text, y in zip(texts, toxic.tolist(), strict=True):
-        found: list[int] = []
-        for w in set(text.lower().split()):
-            if (b := known.get(w)) is None:
-                b = [_bin(f) for f in features(w)]
-                if len(known) < CACHE // 4:
-                    known[w] = b
-            found += b
-        at = np.unique(np.array(found, np.int64))
-        count[at] += 1
-        if y:
-            positive[at] += 1
-    return count, positive
+class Features:
+    """The numbers of each piece's features, those of piece k from first[k] to first[k + 1]; a feature may come twice."""
+
+    def __init__(self, pieces: list[str], number, only: np.ndarray | None = None):
+        """number: of a feature, or None for one that is left out. only: False for pieces to leave without features."""
+        flat: list[int] = []
+        size = np.zeros(len(pieces), np.int64)
+        for k in range(len(pieces)) if only is None else np.flatnonzero(only).tolist():
+            found = [f for f in map(number, features(pieces[k])) if f is not None]
+            flat += found
+            size[k] = len(found)
+        self.flat, self.first = np.array(flat, np.int64), np.append(0, np.cumsum(size))
+
+    def __getitem__(self, piece: int) -> np.ndarray:
+        return self.flat[self.first[piece] : self.first[piece + 1]]
+
+    def some(self, marked: np.ndarray) -> np.ndarray:
+        """Which pieces have a marked feature."""
+        sums = np.append(0, np.cumsum(marked[self.flat]))
+        return sums[self.first[1:]] > sums[self.first[:-1]]
+
+
+@dataclass
+class Sample:
+    """Texts as sets of pieces: the distinct pieces, and the numbers of those in each text, from first[k] to first[k + 1]."""
+
+    pieces: list[str]
+    code: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Sample:
+        """From an array of lists of pieces, without repeats in a list."""
+        coded = column.flatten().dictionary_encode()
+        return cls(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), column.offsets.to_numpy().astype(np.int64) - column.offsets[0].as_py())
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def rows(self, of_piece: Features, step: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """(text, feature) of all texts, each pair once, given the features of each piece."""
+        flat, size, start = of_piece.flat, np.diff(of_piece.first), of_piece.first[:-1]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for a in range(0, len(self), step):
+            b = min(a + step, len(self))
+            code = self.code[self.first[a] : self.first[b]]
+            n = size[code]
+            text = np.repeat(np.repeat(np.arange(a, b), np.diff(self.first[a : b + 1])), n)
+            at = np.repeat(start[code] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            pairs = np.sort(text << 32 | flat[at])
+            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
+            out[0].append(pairs >> 32)
+            out[1].append(pairs & 0xFFFFFFFF)
+        return np.concatenate(out[0]), np.concatenate(out[1])
 
 
 def _best(count: np.ndarray, positive: np.ndarray, n: int, p: int) -> np.ndarray:
@@ -122,47 +166,59 @@ def _best(count: np.ndarray, positive: np.ndarray, n: int, p: int) -> np.ndarray
     return at[np.argsort(-chi, kind="stable")[:FEATURES]]
 
 
-def _rows(sets: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    pairs = [(i, index[f]) for i, s in enumerate(sets) for f in s if f in index]
-    table = np.array(pairs, np.int64).reshape(-1, 2)
-    return table[:, 0], table[:, 1]
-
-
-def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
+def _swapped(sample: Sample, of_piece: Features, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text and each identity term in it that another takes the place of: pair, feature, and 1 where it comes or -1 where it goes."""
+    others = {t: [u for group in IDENTITY if t in group for u in group if u != t] for group in IDENTITY for t in group}
+    held: dict[int, list[str]] = {}
+    for k, piece in enumerate(sample.pieces):
+        if found := [w for w in dict.fromkeys(_WORD.findall(piece)) if w in others]:
+            held[k] = found
+    known = np.array(sorted(held), np.int64)
+    out: tuple[list, list, list] = ([], [], [])
+    pair = 0
+    for text in range(len(sample)):
+        code = sample.code[sample.first[text] : sample.first[text + 1]]
+        there = code[np.isin(code, known)].tolist()
+        for a in dict.fromkeys(t for c in there for t in held[c]):
+            with_a = [c for c in there if a in held[c]]
+            rest = set(np.concatenate([np.zeros(0, np.int64), *(of_piece[c] for c in code[~np.isin(code, with_a)].tolist())]).tolist())
+            before = rest.union(*(of_piece[c].tolist() for c in with_a))
+            for b in others[a]:
+                new = [_WORD.sub(lambda m: b if m[0] == a else m[0], sample.pieces[c]) for c in with_a]  # noqa: B023
+                after = rest | {index[f] for piece in new for f in features(piece) if f in index}
+                for f, sign in [(f, 1) for f in after - before] + [(f, -1) for f in before - after]:
+                    for c, v in zip(out, (pair, f, sign), strict=True):
+                        c.append(v)
+                pair += 1
+    return np.array(out[0], np.int64), np.array(out[1], np.int64), np.array(out[2], float)
+
+
+def fit(sample: Sample, toxic: np.ndarray, weight: np.ndarray) -> Model:
     """A model of texts with labels 0 or 1 and weights."""
-    if not len(texts) or toxic.min() == toxic.max():
-        rate = float(toxic[0]) if len(texts) else 0.0
+    n = len(sample)
+    if not n or toxic.min() == toxic.max():
+        rate = float(toxic[0]) if n else 0.0
         return Model({}, 40.0 if rate else -40.0)
     # First by bins of features, so that what is held does not grow with the kinds of words; then by features of the best bins.
     terms = {f for group in IDENTITY for t in group for f in features(t)}
     y = toxic.astype(bool)
-    best = set(_best(*_binned(texts, y), len(texts), int(y.sum())).tolist()) | {_bin(f) for f in terms}
-    hits = _Hits(best, _bin)
-    sets = [{f for w in set(t.lower().split()) for f in hits[w]} for t in texts]
-    count, positive = Counter(), Counter()
-    for s, of_toxic in zip(sets, y.tolist(), strict=True):
-        count.update(s)
-        if of_toxic:
-            positive.update(s)
-    names = sorted(count)
-    n = len(sets)
-    order = _best(np.array([count[f] for f in names]), np.array([positive[f] for f in names]), n, int(y.sum()))
-    chosen = list(dict.fromkeys([names[k] for k in order.tolist()] + sorted(terms)))
+    p = int(y.sum())
+    bins = Features(sample.pieces, _bin)
+    row, column = sample.rows(bins)
+    best = np.zeros(BINS, bool)
+    best[_best(np.bincount(column, minlength=BINS), np.bincount(column[y[row]], minlength=BINS), n, p)] = True
+    best[[_bin(f) for f in terms]] = True
+    index: dict[str, int] = {}
+    some = bins.some(best)
+    row, column = sample.rows(Features(sample.pieces, lambda f: index.setdefault(f, len(index)) if best[_bin(f)] else None, some))
+    names = list(index)
+    by_name = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
+    count, positive = np.bincount(column, minlength=len(names)), np.bincount(column[y[row]], minlength=len(names))
+    chosen = list(dict.fromkeys([names[k] for k in by_name[_best(count[by_name], positive[by_name], n, p)].tolist()] + sorted(terms)))
     index = {f: k for k, f in enumerate(chosen)}
-    row, column = _rows(sets, index)
-    # Counterfactual pairs: what changes when one identity term takes another's place.
-    lost, gained = [], []
-    for group in IDENTITY:
-        for s in sets:
-            for a in (t for t in group if t in s):
-                for b in group:
-                    if b != a:
-                        lost.append(set(features(a)))
-                        gained.append(set(features(b)))
-    pair_row, pair_column, sign = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    if lost:
-        (r1, c1), (r2, c2) = _rows(lost, index), _rows(gained, index)
-        pair_row, pair_column, sign = np.concatenate([r1, r2]), np.concatenate([c1, c2]), np.concatenate([-np.ones(len(r1)), np.ones(len(r2))])
+    of_piece = Features(sample.pieces, index.get, some)
+    row, column = sample.rows(of_piece)
+    pair_row, pair_column, sign = _swapped(sample, of_piece, index)
     weight = weight / weight.sum()
     w, bias = np.zeros(len(chosen)), float(np.log((weight * toxic).sum() / (weight * (1 - toxic)).sum()))
     moment, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -181,18 +237,28 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
     return Model({f: float(w[k]) for f, k in index.items() if w[k]}, bias)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = BYTES) -> Model:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = [sorted(set(x.lower().split())) for x in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(held, pa.list_(pa.string()))], ["doc_id", "toxic", "pieces"])
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, toxic) that are not held out."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL").where(~held_out())
-    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy(F.col("doc_id").cast("long")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    both = docs.select("doc_id").join(marked, "doc_id")
-    totals = {r.toxic: r["count"] for r in both.groupBy("toxic").count().collect()}
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = {r.doc_id: r.toxic for r in both.select("doc_id", "toxic", F.row_number().over(first).alias("r")).where(F.col("r") <= sample).collect()}
-    rows = bounded(docs.where(F.col("doc_id").isin(list(ids))).select("doc_id", "text"), most)
-    toxic = np.array([ids[r.doc_id] for r in rows], float)
+    marked = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    marked = written(marked)  # two numbers a label
+    totals = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    # Texts of the chosen alone are read: at most twice SAMPLE ids are broadcast.
+    chosen = docs.join(F.broadcast(first_by_hash(marked, "toxic", sample).select("doc_id", "toxic")), "doc_id")
+    chosen = chosen.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = chosen.mapInArrow(_pieces, "doc_id long, toxic int, pieces array<string>").toArrow().sort_by("doc_id").combine_chunks()
+    toxic = rows["toxic"].to_numpy().astype(float)
     n = Counter(toxic.tolist())
-    return fit([r.text for r in rows], toxic, np.array([totals[int(y)] / n[y] for y in toxic.tolist()]))
+    held = rows["pieces"].combine_chunks()
+    held = pa.concat_arrays(held.chunks) if isinstance(held, pa.ChunkedArray) else held
+    return fit(Sample.of(held), toxic, np.array([totals[int(y)] / n[y] for y in toxic.tolist()]))
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:

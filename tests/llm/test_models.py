@@ -7,6 +7,7 @@ import struct
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,22 +18,28 @@ DATA = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
-def test_code_lengths_are_a_code():
-    rng = np.random.default_rng(1)
-    bits = language_id.code_lengths([rng.integers(0, 4, 300)], 5, 2)
-    sums = (2.0**-bits).reshape(-1, 5).sum(axis=1)
-    assert np.allclose(sums, 1)
+def by_counts(texts, order):
+    """Runs of order + 1 bytes of padded texts and their counts, as learn() gathers them."""
+    return np.unique(np.concatenate([language_id._numbers(language_id._folded(t, order), order) for t in texts]), return_counts=True)
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_code_lengths_are_a_code(order):
+    texts = [["the cat sat on the mat", "zzz é"], ["der hund und die katze", "日本語 text"]]
+    model = language_id.trees([by_counts(t, order) for t in texts], order)
+    for context in (b"    ", b"the ", b"er h", b"qqqq", "日本"[-4:].encode()[-4:], b"z z "):
+        head = int.from_bytes(context[4 - order :], "big") << 8
+        bits = model.code(np.arange(256, dtype=np.uint64) | np.uint64(head))
+        assert np.allclose(np.exp2(-bits.astype(float)).sum(axis=0), 1, atol=1e-5)
 
 
-def test_code_lengths_by_hand():
-    text = np.array([0, 0, 1, 0, 1, 0, 2])
-    bits = language_id.code_lengths([text], 3, 1)
-    # after 0: 0 once, 1 twice, 2 once: all kinds seen, so plain shares
-    assert math.isclose(2.0 ** -bits[0 * 3 + 1], 2 / 4)
-    # after 1: 0 twice; the escape 1 / 3 goes to 1 and 2 by their counts at the root, 0 excluded (last symbols: 0 0 1 0 1 0 2 less the first)
-    root = np.array([3, 2, 1]) / 6
-    assert math.isclose(2.0 ** -bits[1 * 3 + 0], 2 / 3)
-    assert math.isclose(2.0 ** -bits[1 * 3 + 1], 1 / 3 * root[1] / (root[1] + root[2]))
+def test_hash_tables():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**40, 5000).astype(np.uint64))
+    table = language_id.Table(keys)
+    assert (table.find(keys) == np.arange(len(keys))).all()
+    other = np.setdiff1d(rng.integers(0, 2**40, 5000).astype(np.uint64), keys)
+    assert (table.find(other) == -1).all() and (language_id.Table(keys[:0]).find(keys) == -1).all()
 
 
 @needs_data
@@ -50,11 +57,13 @@ def test_language_edges(spark):
     assert got[900] == got[901] == got[902] == ("und", 0.0) and got[None][0] == "en" and got[100][0] == "de"
     kept = language_id.known(docs, language_id.learn(docs))
     assert kept.columns == docs.columns and kept.count() == 81
+    twice = language_id.identify(docs.unionAll(docs), language_id.learn(docs.unionAll(docs), per_language=30)).collect()
+    assert len(twice) == 2 * docs.count() and len({(r.doc_id, r.lang_pred, r.score) for r in twice}) == docs.count()
     none = language_id.learn(docs.limit(0))
     assert {r.lang_pred for r in language_id.identify(docs, none).collect()} == {"und"}
 
 
-def ppm_bits(train, text, order=3):
+def ppm_bits(train, text, order=language_id.ORDER):
     """Bits of text under byte trees of the texts in train, all 256 bytes alike at the root."""
     pad = b" " * order
     trees = [{} for _ in range(order + 1)]
@@ -85,13 +94,42 @@ def test_language_of_rare_bytes(spark):
     held = {r.doc_id for r in language_id.identify(docs, model).where("held_out").collect()}
     used = {lang: [t for k, t, x in rows if x == lang and k not in held] for lang in train}
     texts = ["xq", "zk", "qx", "kz", "xqzk kz", "ж", "世q", "a=b x"]
-    names, scores = language_id.score(texts, model)
+    names, scores, bits, size = language_id.score(texts, model)
     assert names[:4] == ["aa", "aa", "bb", "bb"]
     for text, name, p in zip(texts, names, scores.tolist(), strict=True):
         a, b = (ppm_bits(used[lang], text) for lang in ("aa", "bb"))
         assert name == ("aa" if a <= b else "bb") and math.isclose(p, 1 / (1 + 2 ** -abs(a - b)), rel_tol=1e-4)
 
 
+def test_language_of_long_texts(spark, monkeypatch):
+    """Texts are scored whole, in pieces; ties go to the first language."""
+    rows = [(k, f"the cat and the dog {k} " * 4, "en") for k in range(40)] + [(100 + k, f"der hund und die katze {k} " * 4, "de") for k in range(40)] + [(200 + k, f"der hund und die katze {k} " * 4, "dd") for k in range(40)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=40)
+    texts = ["the cat " * 30 + "der hund und die katze " * 200, "x", "the dog", "der hund"] * 3
+    whole = language_id.score(texts, model)
+    monkeypatch.setattr(language_id, "PIECE", 37)
+    parts = language_id.score(texts, model)
+    assert whole[0] == parts[0] and np.allclose(whole[2], parts[2], rtol=1e-5) and whole[0][0] in ("dd", "de") and whole[0][2] == "en"
+    tied = language_id.trees([by_counts(["aa bb"], 4)] * 2, 4)
+    tied.languages = ["p", "q"]
+    assert language_id.score(["bb aa"], tied)[0] == ["p"]
+
+
+def test_language_membership(spark):
+    rng = np.random.default_rng(4)
+    words = {"en": "the cat and dog sat on a mat with old friends near some quiet river".split(), "de": "der hund und die katze liegen auf einer matte mit alten freunden".split()}
+    rows = [(1000 * j + k, " ".join(rng.choice(w, 40)), lang) for j, (lang, w) in enumerate(words.items()) for k in range(200)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=80)
+    odd = [(1, "cat"), (2, " ".join(rng.choice(words["en"], 9))), (3, "".join(rng.choice(list("qxzjkvw"), 400))), (4, "Съешь же ещё этих мягких французских булок " * 3)]
+    assert {r.doc_id for r in language_id.known(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()} == {1, 2}
+    with pytest.raises(ValueError):
+        language_id.MODEL_BYTES, most = 1, language_id.MODEL_BYTES
+        try:
+            language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        finally:
+            language_id.MODEL_BYTES = most
+
+
 @needs_data
 def test_toxicity_held_out(spark):
     data = "/root/testdata/sf0.1"
@@ -128,6 +166,39 @@ def test_counterfactual_penalty(spark, monkeypatch):
     assert with_penalty < 0.3 * gap()[0] and vile > 0
 
 
+def test_swapped_texts():
+    """What a swap changes are the features of the new text less those of the old one."""
+    texts = ["black women, and womenfolk", "women women.", "no one", "Jews and christians"]
+    sample = toxicity.Sample.of(pa.array([sorted(set(t.lower().split())) for t in texts], pa.list_(pa.string())))
+    terms = {f for t in ("black white asian latino women men jews christians muslims hindus buddhists atheists and womenfolk no one".split()) for f in toxicity.features(t)}
+    index = {f: k for k, f in enumerate(sorted(terms))}
+    of_piece = toxicity.Features(sample.pieces, index.get)
+    pair, feature, sign = toxicity._swapped(sample, of_piece, index)
+    got = {}
+    for p, f, s in zip(pair.tolist(), feature.tolist(), sign.tolist(), strict=True):
+        got.setdefault(p, set()).add((f, s))
+    def held(text):
+        return {index[f] for w in text.lower().split() for f in toxicity.features(w) if f in index}
+    swaps = [(texts[0], a, b) for a, others in (("black", ("white", "asian", "latino")), ("women", ("men",))) for b in others] + [(texts[1], "women", "men")]
+    swaps += [(texts[3], a, b) for a in ("jews", "christians") for b in toxicity.IDENTITY[4] if b != a]
+    expected = []
+    for text, a, b in swaps:
+        new = toxicity._WORD.sub(lambda m, a=a, b=b: b if m[0] == a else m[0], text.lower())
+        expected.append({(f, 1.0) for f in held(new) - held(text)} | {(f, -1.0) for f in held(text) - held(new)})
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, (e for e in expected if e)))
+
+
+def test_toxicity_long_and_repeated(spark):
+    rows, labels = toxic_rows(200)
+    long = "w1x " * 50_000
+    docs = spark.createDataFrame([*rows, rows[0], rows[0], (900, long), (901, long + "vile"), (901, long + "vile"), (902, "vile"), (902, "vile")], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([*labels, (901, 1), (901, 0)], "doc_id long, toxic int"), sample=30)
+    got = {}
+    for r in toxicity.scored(docs, model).collect():
+        got.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(s) == 1 for s in got.values()) and min(got[901]) > max(got[900])
+
+
 def test_toxicity_edges(spark):
     rows, labels = toxic_rows(100)
     docs = spark.createDataFrame([*((*r, 1.0) for r in rows), (None, "vile", 1.0), (999, None, 1.0), (998, "", 1.0)], "doc_id long, text string, score double")
