@@ -8,8 +8,9 @@ is longer than the lookahead; hence every token that all of them share is stable
 lookahead is computed from the merge list: the length in bytes of the longest token that merges can make. What is kept is
 bounded by the lookahead and by the tokens on which its prefixes still differ, not by the text.
 
-Short runs (words) take the same rule from the left: the longest token that is joinable with the last, with a step
-back where none is. Runs' ids are kept in a bounded table, as are answers about pairs.
+Every run of every text goes through the transducer, whatever its length; ids of runs that come again are kept in bounded tables, as are
+answers about pairs. Texts are read in pieces: a piece is encoded up to its last safe border between words, and where it has none, as in a
+run longer than the piece, runs are fed to the transducer as they come and their ids leave it as they become stable.
 
 Texts are split into runs by the pattern of the vocabulary's pre-tokenizer; added tokens split first. A null text counts as empty
 and has no tokens. Empty tables give no rows, and repeated rows or ids come out as often as they go in.
@@ -35,9 +36,11 @@ from tarnline.llm.tokens import LETTERS, STOPS, SpacedEncoder, Units, byte_lette
 
 #: Fixed value: the pre-tokenizer's pattern, with Unicode's white space written out.
 _S = r"\t-\r \x85\xa0  -     　"
+CLASSES = tuple(regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", rf"[^{_S}\p{{L}}\p{{N}}]+", f"[{_S}]+"))  # what continues a run, white space last
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-RUN = 64
 PAIRS = 400_000
+PIECE = 1 << 16
+HELD = 4096
 
 
 class Merges:
@@ -113,59 +116,122 @@ class Merges:
 
 
 class Transducer:
-    """Bytes of one run in, stable ids out: feed as often as there are bytes, then finish."""
+    """Bytes of one run in, stable ids out: feed as often as there are bytes, then finish, which makes it ready for the next run."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.read = self.sent = 0  # bytes
-        self.tail = b""  # the last bytes read, as many as the lookahead
-        self.ends: dict[int, tuple[int, int]] = {}  # of each prefix by length: where its last token begins, and that token
+        self._reset()
+
+    def _reset(self) -> None:
+        self.data = b""  # what follows the last token emitted
+        #: Of each prefix of data: the token that ends there, and where that begins; at 0 the last token emitted, if there is one.
+        self.last: list[int | None] = [None]
+        self.begin = [0]
+
+    @property
+    def held(self) -> int:
+        return len(self.last)
 
     def feed(self, data: bytes) -> list[int]:
-        m, ends, out = self.merges, self.ends, []
-        for k in range(len(data)):
-            self.tail = self.tail[-m.lookahead + 1 :] + data[k : k + 1]
-            self.read += 1
-            for size in range(min(len(self.tail), self.read - self.sent), 0, -1):
-                t = m.token.get(self.tail[-size:])
-                begin = self.read - size
-                if t is not None and (begin == 0 or begin == self.sent and m.joinable(self.last, t) or begin in ends and m.joinable(ends[begin][1], t)):
-                    ends[self.read] = (begin, t)
-                    break
-            if self.read % m.lookahead == 0:
+        out: list[int] = []
+        for k in range(0, len(data), self.merges.lookahead):
+            self._step(data[k : k + self.merges.lookahead])
+            if len(self.data) >= 2 * self.merges.lookahead:
                 out += self._stable()
-                ends = self.ends
         return out
 
+    def _step(self, part: bytes) -> None:
+        longest, token, joinable, last, begin = self.merges.lookahead, self.merges.token, self.merges.joinable, self.last, self.begin
+        data = self.data = self.data + part
+        for end in range(len(last), len(data) + 1):
+            for at in range(max(0, end - longest), end):
+                t = token.get(data[at:end])
+                if t is not None and ((before := last[at]) is None or joinable(before, t)):
+                    last.append(t)
+                    begin.append(at)
+                    break
+
     def _stable(self) -> list[int]:
-        """The tokens before the last prefix that all live prefixes share; older prefixes are dropped."""
-        live = {p for p in self.ends if p > self.read - self.merges.lookahead}
-        at = set(live)
+        """The tokens up to the last prefix that all live prefixes share; what lies before it is dropped."""
+        n = len(self.data)
+        at = set(range(n - self.merges.lookahead + 1, n + 1))
         while len(at) > 1:
             p = max(at)
             at.remove(p)
-            at.add(self.ends[p][0])
-        p = at.pop() if at else self.sent
+            at.add(self.begin[p])
+        p = at.pop()
         out = self._back(p)
-        need = set(live)
-        for q in sorted(live, reverse=True):
-            while q > self.sent and q in self.ends:
-                need.add(q)
-                q = self.ends[q][0]
-        self.ends = {q: e for q, e in self.ends.items() if q in need and q > self.sent}
+        self.data, self.last = self.data[p:], self.last[p:]
+        self.begin = [max(0, b - p) for b in self.begin[p:]]  # of prefixes that do not pass p none is live
         return out
 
     def _back(self, p: int) -> list[int]:
-        out, q = [], p
-        while q > self.sent:
-            q, t = self.ends[q]
-            out.append(t)
-        if out:
-            self.last, self.sent = out[0], p
+        out = []
+        while p:
+            out.append(self.last[p])
+            p = self.begin[p]
         return out[::-1]
 
     def finish(self) -> list[int]:
-        return self._back(self.read)
+        out = self._back(len(self.data))
+        self._reset()
+        return out
+
+
+class Runs:
+    """Text in, ids out, where a run may be longer than any piece: what can't be told yet is held, and of a long run only its last characters."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.machine = encoder, Transducer(encoder.merges)
+        self.margin = max([2, *(len(t) + 1 for t in encoder.merges.added)])  # an added token or a contraction may begin there, or after one white space
+        self.text, self.more = "", None  # more: what continues the run that the machine is in
+
+    def feed(self, piece: str, final: bool = False) -> bytes:
+        self.text += piece
+        out = []
+        while True:
+            if self.more is not None:
+                out.append(self._continue(final))
+                if self.more is not None:
+                    return b"".join(out)
+            added = self.encoder.split.search(self.text) if self.encoder.split is not None else None
+            stop = added.start() if added else len(self.text)
+            known = stop if added or final else stop - self.margin
+            at = 0
+            for m in PATTERN.finditer(self.text, 0, stop):
+                if m.end() > known:
+                    if len(m[0]) > HELD + self.margin:
+                        self.more = next(c for c in CLASSES if c.match(m[0][-1]))
+                        out.append(packed(self.machine.feed(self.text[m.start() : known].encode())))
+                        at = known
+                    break
+                out.append(self.encoder.runs[m[0]])
+                at = m.end()
+            self.text = self.text[at:]
+            if self.more is None:
+                if not added:
+                    return b"".join(out)
+                out.append(packed([self.encoder.merges.added[added[0]]]))
+                self.text = self.text[len(added[0]) :]
+
+    def _continue(self, final: bool) -> bytes:
+        """Feeds the machine with what the text has more of its run, and finishes it where the run ends."""
+        added = self.encoder.split.search(self.text) if self.encoder.split is not None else None
+        stop = added.start() if added else len(self.text)
+        m = self.more.match(self.text, 0, stop)
+        end = m.end() if m else 0
+        known = stop if added or final else stop - self.margin
+        ended = end <= known
+        if not ended:
+            end = max(0, known)
+        elif self.more is CLASSES[-1] and end < stop:
+            end -= 1  # the last white space before something else stands apart
+        out = self.machine.feed(self.text[:end].encode())
+        self.text = self.text[end:]
+        if ended:
+            out += self.machine.finish()
+            self.more = None
+        return packed(out)
 
 
 class Encoder:
@@ -174,35 +240,15 @@ class Encoder:
     def __init__(self, name: str = "byte_bpe_50k.json"):
         self.merges = Merges(public_tokenizers.path(name))
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.merges.added, key=len, reverse=True))) + ")") if self.merges.added else None
+        if any(c.isspace() for t in self.merges.added for c in t):
+            raise ValueError("an added token with white space can't be told at borders between words")
+        self.machine = Transducer(self.merges)
         self.runs = Units(lambda run: packed(self.run(run.encode())), 50_000)
         self.spaced = SpacedEncoder(self.unit, lambda word: self.unit(word, " "), self.whole)
         self.encode = self.spaced.encode
 
     def run(self, run: bytes) -> list[int]:
-        if len(run) > RUN:
-            machine = Transducer(self.merges)
-            return machine.feed(run) + machine.finish()
-        if (t := self.merges.token.get(run)) is not None and len(run) < 3:
-            return [t]
-        token, joinable, longest = self.merges.token, self.merges.joinable, self.merges.lookahead
-        out: list[int] = []
-        begins: list[int] = []
-        at, size, n = 0, min(longest, len(run)), len(run)
-        while at < n:
-            while size:
-                t = token.get(run[at : at + size])
-                if t is not None and (not out or joinable(out[-1], t)):
-                    break
-                size -= 1
-            if size:
-                out.append(t)
-                begins.append(at)
-                at += size
-                size = min(longest, n - at)
-            else:  # the last token was too long
-                size, at = at - begins[-1] - 1, begins.pop()
-                out.pop()
-        return out
+        return self.machine.feed(run) + self.machine.finish()
 
     def unit(self, word: str, space: str = "") -> bytes:
         """A unit between white space; those of letters, with a stop or without, are one run and need no pattern."""
@@ -227,18 +273,28 @@ class Encoder:
         """Ids of the pieces' concatenation, as they become stable.
 
         A piece's end waits for the next piece from the last place at which a word begins: a white-space character that follows
-        another character than white space, if none follows it but a word's. A run without such a place is held until it ends.
+        another character than white space, if none follows it but a word's. What has no such place goes run by run.
         """
-        held = ""
+        held, slow = "", None
         for piece in pieces:
-            held += piece
+            if slow is not None:
+                yield slow.feed(piece)
+                if slow.more is not None or len(slow.text) > HELD:
+                    continue
+                held, slow = slow.text, None
+            else:
+                held += piece
             cut = max(held.rfind(" "), held.rfind("\n"))
             while cut > 0 and (held[cut - 1].isspace() or held[cut + 1 : cut + 2].isspace() or cut + 1 == len(held)):
                 cut = max(held.rfind(" ", 0, cut), held.rfind("\n", 0, cut))
             if cut > 0:
-                yield self.whole(held[:cut])
+                yield self.encode(held[:cut])
                 held = held[cut:]
-        yield self.whole(held)
+            if len(held) > HELD:
+                slow = Runs(self)
+                yield slow.feed(held)
+                held = ""
+        yield slow.feed("", True) if slow is not None else self.encode(held)
 
 
 class Decoder:
@@ -263,13 +319,23 @@ def _round_trip(keep: bool, block: int):
             for run in slices(batch, "text"):
                 out: list[list] = [[] for _ in range(5)]
                 for text in run.column("text").to_pylist():
-                    ids = encoder.encode(text or "")
-                    digest, parts = hashlib.sha256(), []
-                    for part in decoder.decode(ids[k : k + 4 * block] for k in range(0, len(ids), 4 * block)):
-                        digest.update(part.encode())
+                    text = text or ""
+                    digest, decoded, n, parts, ids = hashlib.sha256(), hashlib.sha256(), 0, [], []
+
+                    def coded(text: str = text, digest=digest, ids: list = ids) -> Iterator[bytes]:
+                        nonlocal n
+                        for found in encoder.stream(text[k : k + PIECE] for k in range(0, len(text), PIECE)):
+                            n += len(found) // 4
+                            digest.update(found)
+                            if keep:
+                                ids.append(found)
+                            yield from (found[k : k + 4 * block] for k in range(0, len(found), 4 * block))
+
+                    for part in decoder.decode(coded()):
+                        decoded.update(part.encode())
                         if keep:
                             parts.append(part)
-                    row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), digest.hexdigest(), ids, "".join(parts))
+                    row = (n, digest.hexdigest(), decoded.hexdigest(), b"".join(ids), "".join(parts))
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]

@@ -65,7 +65,9 @@ class SpacedEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        white, found = text.count(" ") + text.count("\n"), text.split()
+        # As many words as single gaps make, and no other white space than those.
+        if len(found) != white + 1 or sum(map(len, found)) + white != len(text):
             return self.whole(text)
         plain, spaced, end, out = self.plain, self.spaced.__getitem__, self.plain["\n"], []
         for line in text.split("\n"):

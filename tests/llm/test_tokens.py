@@ -1,5 +1,6 @@
 """Encoders against the library; the transducer; token files; packing."""
 
+import hashlib
 import random
 import zlib
 
@@ -37,20 +38,63 @@ def test_random_texts(coders, text):
     ids = byte.unit_by_library(text)
     assert byte.encode(text) == ids == own.encode(text)
     assert word.encode(text) == word.unit_by_library(text)
-    assert b"".join(own.stream(text[k : k + 3] for k in range(0, len(text), 3))) == ids
+    for size in (1, 3, 50):
+        assert b"".join(own.stream(text[k : k + size] for k in range(0, len(text), size))) == ids
+        slow, out = bpe.Runs(own), []
+        for k in range(0, len(text), size):
+            out.append(slow.feed(text[k : k + size]))
+        assert b"".join([*out, slow.feed("", True)]) == ids
     blocks = [ids[k : k + 8] for k in range(0, len(ids), 8)]
     assert "".join(bpe.Decoder(own.merges).decode(blocks)) == byte.library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
 
 
+PART = st.one_of(st.sampled_from(["a" * 40, "-" * 30, " " * 25, "é" * 20, "7" * 30, "\n" * 9, "\t\n" * 6, "'re", "'s", "<|endoftext|>", "<|endof", "ab", " ", "\n", "日本語" * 5, "x\n\ny"]), st.text(max_size=5))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PART, max_size=9), st.integers(1, 60))
+def test_long_runs_in_pieces(coders, parts, size):
+    """Runs longer than what is held, in pieces of any size."""
+    byte, _, own = coders
+    text, held = "".join(parts), bpe.HELD
+    bpe.HELD = 4
+    try:
+        out = b"".join(own.stream(text[k : k + size] for k in range(0, len(text), size)))
+        slow = bpe.Runs(own)
+        runs = [slow.feed(text[k : k + size]) for k in range(0, len(text), size)]
+        runs.append(slow.feed("", True))
+    finally:
+        bpe.HELD = held
+    assert out == byte.unit_by_library(text) == b"".join(runs)
+
+
+def test_stream_holds_little(coders):
+    byte, _, own = coders
+    slow, most, out = bpe.Runs(own), 0, []
+    for _ in range(300):
+        out.append(slow.feed("aaaabbaaathein" * 100))
+        most = max(most, len(slow.text) + slow.machine.held)
+    out.append(slow.feed("", True))
+    assert b"".join(out) == byte.unit_by_library("aaaabbaaathein" * 30_000) and most < 2 * bpe.HELD
+
+
+def test_every_run_goes_through_the_transducer(coders, monkeypatch):
+    own, fed = bpe.Encoder(), []
+    real = own.machine.feed
+    monkeypatch.setattr(own.machine, "feed", lambda data: fed.append(data) or real(data))
+    own.encode("The cat, 12 cats\tand catsanddogs" + "z" * 300)
+    assert {b"The", b" cat", b",", b" 12", b" cats", b"\t", b"and"} <= set(fed) and len(fed) == len(set(fed))
+
+
 def test_transducer_keeps_little(coders):
     byte, _, own = coders
     machine, out, most = bpe.Transducer(own.merges), [], 0
     for _ in range(60):
         out += machine.feed(b"aaaabbaaathein" * 20)
-        most = max(most, len(machine.ends))
+        most = max(most, machine.held)
     out += machine.finish()
     assert packed(out) == byte.unit_by_library("aaaabbaaathein" * 1200)
-    assert most <= 2 * own.merges.lookahead
+    assert most <= 3 * own.merges.lookahead
 
 
 def test_decoder_of_broken_bytes(coders):
@@ -84,6 +128,15 @@ def test_token_files(spark):
         at += r.n_tokens
 
 
+@pytest.mark.parametrize("length", [16, 2048])
+def test_packing_of_odd_texts(spark, length):
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").repartition(3)
+    coder, got = ByteBpe(), {}
+    for r in packing.pack(docs, length=length).collect():
+        got.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    assert {k: b"".join(x for _, x in sorted(v)) for k, v in got.items()} == {k: coder.unit_by_library(t) + packed([1]) for k, t in enumerate(ODD)}
+
+
 @pytest.mark.parametrize("length", [16, 2048])
 def test_packing(spark, length):
     docs = spark.createDataFrame([(*r, "x") for r in ROWS], "doc_id long, text string, sequence_id string").repartition(3)
@@ -109,11 +162,17 @@ def test_packing(spark, length):
     assert len(joined) == len(seen) and all(len(r.ids) == length or len(r.ids) & (len(r.ids) - 1) == 0 for r in joined)
 
 
-def test_bpe_operator(spark):
-    docs = spark.createDataFrame([(*r, 1) for r in ROWS], "doc_id long, text string, ids int")
-    for r in bpe.encode_decode(docs).collect():
-        assert bytes(r.ids) == ByteBpe().unit_by_library(r.decoded) and r.n_tokens == len(r.ids) // 4
-    assert sorted(r.decoded for r in bpe.encode_decode(docs).collect()) == sorted(t or "" for _, t in ROWS)
+def test_bpe_operator(spark, monkeypatch):
+    texts = [*ODD, *(t for _, t in ROWS), "a" * 70_000 + " b", " " * 70_001 + "c", "word\t" * 20_000, "x\n\n" * 30_000, "'re" * 30_000]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, ids int")
+    coder = ByteBpe()
+    got = {r.doc_id: r for r in bpe.encode_decode(docs).collect()}
+    thin = {r.doc_id: tuple(r) for r in bpe.encode_decode(docs, keep=False).collect()}
+    for k, t in enumerate(texts):
+        ids, r = coder.unit_by_library(t or ""), got[k]
+        decoded = coder.library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+        assert bytes(r.ids) == ids and r.decoded == decoded
+        assert thin[k] == (k, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()) == tuple(r)[:4]
 
 
 @pytest.mark.parametrize("run", [lambda d: token_files.read_tokens(token_files.write_tokens(d)), packing.pack, bpe.encode_decode])
