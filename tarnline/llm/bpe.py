@@ -41,6 +41,8 @@ PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S
 PAIRS = 400_000
 PIECE = 1 << 16
 HELD = 4096
+END = 3
+SHORT = tuple(range(END - 1, 0, -1))
 
 
 class Merges:
@@ -53,7 +55,7 @@ class Merges:
         spell = lambda token: bytes(byte[c] for c in token)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.spelling = {i: spell(t) for t, i in spec["model"]["vocab"].items() if t not in self.added}
-        self.token = {b: i for i, b in self.spelling.items()}
+        self.token: dict[bytes, int] = {b: i for i, b in self.spelling.items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.merged = {}
         for rank, (a, b) in enumerate(merges):
@@ -63,6 +65,12 @@ class Merges:
         for (a, b), (rank, c) in self.merged.items():
             self.made.setdefault(c, (rank, a, b))
         self.lookahead = max(map(len, self.reachable()))
+        #: Sizes of the tokens that end in certain bytes, the longest first.
+        ends: dict[bytes, set[int]] = {}
+        for spelled in self.token:
+            if len(spelled) >= END:
+                ends.setdefault(spelled[-END:], set(range(1, END))).add(len(spelled))
+        self.sizes = {end: tuple(sorted(found, reverse=True)) for end, found in ends.items()}
         self.spelling |= {i: t.encode() for t, i in self.added.items()}
         self._pairs: dict[int, bool] = {}
 
@@ -141,12 +149,12 @@ class Transducer:
         return out
 
     def _step(self, part: bytes) -> None:
-        longest, token, joinable, last, begin = self.merges.lookahead, self.merges.token, self.merges.joinable, self.last, self.begin
+        sizes, token, joinable, last, begin = self.merges.sizes.get, self.merges.token.get, self.merges.joinable, self.last, self.begin
         data = self.data = self.data + part
         for end in range(len(last), len(data) + 1):
-            for at in range(max(0, end - longest), end):
-                t = token.get(data[at:end])
-                if t is not None and ((before := last[at]) is None or joinable(before, t)):
+            for size in sizes(data[max(0, end - END) : end], SHORT):
+                at = end - size
+                if at >= 0 and (t := token(data[at:end])) is not None and ((before := last[at]) is None or joinable(before, t)):
                     last.append(t)
                     begin.append(at)
                     break
