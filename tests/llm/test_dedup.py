@@ -81,6 +81,45 @@ def test_substring_dedup_repeats_within_a_document(spark):
     assert got[1][1] == 1200
 
 
+def test_many_small_mixes(spark):
+    """Copied parts at all borders, repeats inside documents, runs of one word, against brute force."""
+    for seed in (11, 12, 13):
+        rng = random.Random(seed)
+        words = [f"w{k}" for k in range(400)]
+        base = [rng.choice(words) for _ in range(1500)]
+        docs = []
+        for d in range(90):
+            t = []
+            for _ in range(rng.randrange(1, 7)):
+                a, n = rng.randrange(1300), rng.randrange(30, 180)
+                t += rng.choice([base[a : a + n], base[a : a + n] * 2, ["same"] * n, [rng.choice(words) for _ in range(rng.randrange(40))]])
+            if docs and rng.random() < 0.3:
+                t = docs[rng.randrange(len(docs))][1].split() + t
+            docs.append((d, " ".join(t)))
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), texts=False).collect()}
+        assert got == brute_spans(docs, 50)
+
+
+def test_compaction(spark):
+    """Pieces in a row without a branch are one path; nodes with two ways, and other sources, end it."""
+    rows = [(k, 0, k, k + 1, 5, 3, 5 * k) for k in range(8)]  # a chain in document 3
+    rows += [(100, 0, 4, 900, 5, 6, 7), (101, 0, 900, 901, 2, 6, 12), (102, 0, 901, 902, 1, 7, 14), (103, 0, 902, 903, 1, 7, 90)]
+    rows += [(200 + k, 0, 50 + k % 3, 50 + (k + 1) % 3, 1, 9, k) for k in range(3)]  # a circle
+    df = spark.createDataFrame(rows, "h1 long, h2 long, head long, tail long, edges int, source long, at int")
+    got = {r.h1: (r.source, r.start) for r in substring_dedup.compacted(df).collect()}
+    expected = {k: (3, 0 if k < 4 else 20) for k in range(8)} | {100: (6, 7), 101: (6, 7), 102: (7, 14), 103: (7, 90)} | {200 + k: (9, 0) for k in range(3)}
+    assert got == expected
+
+
+def test_long_copies_are_few_spans(spark):
+    """Spans end where the graph branches: where the third document's copy begins and ends."""
+    text = [f"x{k}" for k in range(2000)]
+    docs = [(1, " ".join(text)), (2, "a b c " + " ".join(text)), (3, " ".join(text[300:1700]))]
+    spans = {r.doc_id: r.spans for r in substring_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(spans[2]) == 3 and substring_dedup.covered(2003, spans[2], 50).sum() == 2000 and not substring_dedup.covered(2003, spans[2], 50)[:3].any()
+    assert substring_dedup.covered(1400, spans[3], 50).all() and 1 not in spans
+
+
 def test_without_repeats_keeps_columns(spark):
     long = " ".join(map(str, range(60)))
     df = spark.createDataFrame([(1, long, "a", 9), (2, long + " tail", "b", 9), (None, None, "c", None)], "doc_id long, text string, spans string, n_chars long")
