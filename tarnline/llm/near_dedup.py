@@ -1,8 +1,9 @@
 """Near-duplicate documents by weighted MinHash: multisets of 5-word shingles, Jaccard 0.8 or more, classes of linked documents.
 
-BagMinHash. A shingle of multiplicity w covers the weights (0, w]. Weights are cut into blocks (0,1], (1,2], (2,4], (4,8] ...; each
-block of each shingle has a Poisson process of points in time, its rate the block's size times the number of slots. A
-point has a slot and a level in its block, drawn by hashing, and counts if its level lies below w. So a document needs log w processes a
+BagMinHash. A shingle of multiplicity w covers the weights (0, w]. Discretised weights form a hierarchy of dyadic blocks (0,1], (1,2], (2,4],
+(4,8] ...; each block of each shingle has a Poisson process of points in time, its rate the block's size times the number of slots. A
+point has a slot and a level in its block, drawn by hashing (the level's bits are its way down the halves of the block), and counts if its level lies
+below w; blocks above w are never drawn. So a document needs log w processes a
 shingle, points of smaller weights are points of larger ones too, and each slot's earliest point agrees between two
 documents with probability equal to the weighted Jaccard similarity. Points are drawn up to a horizon by which slots are most
 likely all filled, and the horizon is doubled for those documents where one is not.
@@ -11,15 +12,16 @@ likely all filled, and the horizon is doubled for those documents where one is n
    kept by its smallest id from here on: copies of a text cost one row each and no pair.
 2. Documents that agree on all slots of a band share a bucket. Two of similarity 0.8 miss each other in all bands with probability
    (1 - 0.8**ROWS)**BANDS, below 3e-6 by default.
-3. Each bucket's members are held against its smallest member: pairs grow with the rows of buckets, not with their squares. The
+3. Each bucket's members are held against its smallest member: pairs grow with the rows of buckets, not with their squares, and a
+   smallest member's text is dealt once for every STAR of them. The
    exact overlap of the two multisets decides. Linked documents get the smallest id of their component.
-4. Only buckets that still hold several components are looked at again, in groups of two blocks of a bounded number of members and words. In
-   a group every pair of different components whose first common band is this one is compared exactly, one member with all others in one
+4. Only buckets that still hold several components are looked at again, of those with the same members one, in groups of two blocks of a bounded
+   number of members and words. In a group every pair of different components whose first common band is this one is compared exactly, one member with all others in one
    vector operation, and only links that join two components leave it: fewer than members. Every pair of a bucket is then either
    verified or already in one component, so that no link that could join two components is lost, and no list of pairs is made.
 
 Nulls: a document without words (null text too) belongs to a class of its own, as do rows of null doc_id, which have a null class.
-Documents under 5 words have one shingle of all their words. Rows that repeat a doc_id with other texts
+Documents under 5 words have one shingle of all their words; texts of any length are signed whole. Rows that repeat a doc_id with other texts
 share a class, which is linked to all that one of the texts is linked to. An empty table
 gives no rows. Other columns are not read.
 """
@@ -39,8 +41,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 45
 ROWS = 6
-BLOCK = 1024
-BLOCK_WORDS = 1_000_000
+BLOCK = 4096
+BLOCK_WORDS = 2_000_000
+STAR = 4096
 _SIGNED = "doc_id long, total long, s1 long, s2 long, bands array<long>"
 U64 = np.uint64
 
@@ -234,6 +237,7 @@ def components(links: DataFrame) -> DataFrame:
     Each step is written to the shared folder; a node's links are only ever aggregated, never gathered.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    mark = _fingerprint(edges)
     while True:
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -242,13 +246,20 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
         after = written(small.distinct())
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
+        last, mark = mark, _fingerprint(after)
+        if mark == last:
             return after.select(F.col("a").alias("id"), F.col("b").alias("root"))
         edges = after
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    """The number of distinct edges and 128 bits of all of them, whatever their order."""
+    pair = [F.bit_xor(F.xxhash64(F.lit(k), "a", "b")) for k in (1, 2)]
+    return tuple(edges.agg(F.count("*"), *pair).first())
+
+
 def _labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    return buckets.join(roots, buckets.doc == roots.id, "left").select("band", "doc", "total", F.coalesce("root", "doc").alias("root"))
+    return buckets.join(roots, buckets.doc == roots.id, "left").select("band", "no", "doc", "total", F.coalesce("root", "doc").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -257,24 +268,29 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     signed_docs = written(docs.where("doc_id IS NOT NULL").mapInArrow(_sign(k, bands, rows), _SIGNED))
     some = signed_docs.where("total > 0")
     groups = written(some.groupBy("total", "s1", "s2").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands")))
-    member = groups.select("doc", "total", F.explode("bands").alias("band"))
+    member = groups.select("doc", "total", F.posexplode("bands").alias("no", "band"))
     shared = member.groupBy("band").agg(F.count("*").alias("n"), F.min("doc").alias("least")).where("n > 1").select("band", "least")
-    buckets = written(member.join(shared, "band").select("band", "doc", "total", "least"))
+    buckets = written(member.join(shared, "band").select("band", "no", "doc", "total", "least"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are similar; texts of b travel to a."""
+        """Those of the pairs (a, b) that are similar; texts of b travel to a, and a's text once for every STAR of them."""
         text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")).where(f"{x} IS NOT NULL AND text_{x} IS NOT NULL")
-        right = pairs.join(text("b"), "b")
-        both = right.join(text("a"), "a").select("a", "b", "text_a", "text_b")
+        stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("points"))
+        left = stars.join(text("a"), "a").withColumn("point", F.explode(F.sequence(F.lit(0), F.col("points") - 1))).select("a", "point", "text_a")
+        right = pairs.join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("points")).cast("int").alias("point")).join(text("b"), "b")
+        both = right.join(left, ["a", "point"]).select("a", "b", "text_a", "text_b")
         return both.mapInArrow(_verify(k, threshold), "a long, b long, similarity double")
 
     near = "least(total, other) >= {} * greatest(total, other)".format(threshold)
     size = groups.select(F.col("doc").alias("a"), F.col("total").alias("other"))
     star = buckets.where("doc > least").select(F.col("least").alias("a"), F.col("doc").alias("b"), "total").distinct()
-    links = written(linked(star.join(size, "a").where(near).select("a", "b")))
+    links = written(linked(written(star.join(size, "a").where(near).select("a", "b"))))
     roots = components(links)
-    marked = written(_labelled(buckets.select("band", "doc", "total"), roots))
-    mixed = marked.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("doc").alias("least"), F.count("*").alias("n"), F.sum("total").alias("words")).where("lo < hi")
+    marked = written(_labelled(buckets.select("band", "no", "doc", "total"), roots))
+    members = [F.bit_xor(F.xxhash64(F.lit(k_), "doc")).alias(f"m{k_}") for k_ in (1, 2)]
+    mixed = marked.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("doc").alias("least"), F.count("*").alias("n"), F.sum("total").alias("words"), F.min("no").alias("no"), *members).where("lo < hi")
+    # Buckets of the same members, as those of one group in several bands, are compared once, in the first band.
+    mixed = mixed.groupBy("m1", "m2", "n").agg(F.min_by("band", "no").alias("band"), *(F.first(c).alias(c) for c in ("least", "words")))
     mixed = mixed.select("band", "least", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int").alias("n_blocks"))
     open_rows = marked.join(mixed, "band").where("doc > least").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("n_blocks")).cast("int"))
     meets = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))

@@ -189,11 +189,42 @@ def test_near_duplicates_edges(spark):
 
 def test_blocks_of_buckets(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "STAR", 3)
     docs = near_docs(5)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == brute_classes(docs)
 
 
+def test_unlike_documents_of_many_buckets(spark, monkeypatch):
+    """Documents that share most buckets, all just too unlike their least member, with links among some."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 9)
+    rng = random.Random(7)
+    words = [f"u{k}" for k in range(3000)]
+    base = [rng.choice(words) for _ in range(400)]
+    docs = []
+    for d in range(60):
+        t = base[:]
+        for j in range(0, 400, 9 + d % 3):
+            t[j] = rng.choice(words)
+        docs.append((2 * d, " ".join(t)))
+        if d % 4 == 0:
+            t[7] = "other"
+            docs.append((2 * d + 1, " ".join(t)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_classes(docs) and 5 < len(set(got.values())) < len(docs)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(9000)}" for _ in range(60_000)]
+    near = long[:]
+    for k in range(0, 60_000, 200):
+        near[k] = "changed"
+    docs = [(1, " ".join(long)), (2, " ".join(near)), (3, "same word again " * 30_000), (4, "same word again " * 26_000), (5, "same word again " * 9000)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_classes(docs) == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
 def test_repeated_ids_share_a_class(spark):
     docs = near_docs(6)
     df = spark.createDataFrame([*docs, (0, docs[7][1]), (4, docs[1][1] + " more"), (8, "other text of the same id")], "doc_id long, text string")
