@@ -1,9 +1,11 @@
 """Language ID, toxicity, nearest neighbours, media and licenses."""
 
+import hashlib
 import json
 import math
 import os
 import struct
+import zlib
 
 import duckdb
 import numpy as np
@@ -340,15 +342,43 @@ def test_media_tiles(spark):
     assert all(r.tiles == [] and r.hash is None for r in rows if r.id != 1)
 
 
+def test_bad_netpbm():
+    for data in (b"P2 1 1 9\n99", b"P3 1 1 9\n1 2 10", b"P5\n1 1\n9\n" + bytes([99]), b"P6\n1 1\n300\n" + struct.pack(">3H", 1, 2, 301), b"P2 1 1 99999\n1", b"P2 1 1 9\n-4"):
+        with pytest.raises(ValueError):
+            media.decode(data)
+
+
+def test_hash_of_parts():
+    x = np.random.default_rng(3).integers(0, 256, (70, 64, 3), np.uint8)
+    for step in (1, 7, 32, 70):
+        parts = [x[a : a + step] for a in range(0, 70, step)]
+        assert media.hash_of_parts(parts, 70) == media.difference_hash(x)
+        assert np.allclose(media._resized(parts, 70, 5, 6), media.area_resize(x, 5, 6))
+    assert (media.joined(media.tiles(x, 16)) == x).all()
+
+
 def test_text_media(spark):
-    texts = [(1, "abc"), (2, None), (3, ""), (4, "é" * 96), (5, "é" * 97), (None, "abc"), (6, "x" * 100_000)]
-    stored = media.store_texts(spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, media int"))
+    """All columns against a plain version; repeated rows alike; no tile above TILE rows."""
+    texts = [(1, "abc"), (2, None), (3, ""), (4, "é" * 96), (5, "é" * 97), (None, "abc"), (6, "x" * 100_000), (6, "x" * 100_000), (7, "日本語 " * 9000), (8, "\x00" * 192)]
+    docs = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, media int")
+    stored = media.store_texts(docs)
+    kept = {}
     for r in stored.collect():
         data = (dict(texts)[r.doc_id] or "").encode()
-        size = max(192, -(-len(data) // 192) * 192)
-        assert r.n_bytes == len(data) and media.from_npy(bytes(r.media)).tobytes() == data.ljust(size)
+        x = [media.from_npy(bytes(t)) for t in r.tiles]
+        assert all(len(t) <= media.TILE and t.dtype == np.uint8 for t in x) and len(x) == -(-sum(map(len, x)) // media.TILE)
+        assert r.n_bytes == len(data) and b"".join(t.tobytes() for t in x) == data.ljust(max(192, -(-len(data) // 192) * 192))
+        kept[r.doc_id] = b"".join(map(bytes, r.tiles))
     rows = media.read_media(stored).collect()
-    assert len(rows) == len(texts) and len({r.feature for r in rows if r.doc_id in (1, None)}) == 1
+    for r in rows:
+        data = (dict(texts)[r.doc_id] or "").encode()
+        payload = data.ljust(max(192, -(-len(data) // 192) * 192))
+        whole = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3)
+        assert tuple(r) == (
+            r.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(kept[r.doc_id]), hashlib.sha256(kept[r.doc_id]).hexdigest(), media.difference_hash(whole),
+        )
+    assert len(rows) == len(texts) and len({tuple(r)[1:] for r in rows if r.doc_id in (1, None)}) == 1
+    assert media.read_media(media.store_texts(docs.limit(0))).count() == 0
 
 
 @needs_data
