@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnline.llm.common import Words, mix, sequence_hash, sequence_sums, signed, slices, written
+from tarnline.llm.common import Words, mix, sequence_hash, sequence_sums, signed, slices, spare, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -308,5 +308,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
 
 def first_of_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, without those that are not the first of their class. Rows that repeat a doc_id stay or go together."""
-    copies = near_duplicates(docs, threshold).where(~F.col("is_first")).select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(copies, F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")
+    copy = spare(docs, "copy")
+    copies = near_duplicates(docs, threshold).where(~F.col("is_first")).select(F.col("doc_id").alias(copy)).distinct()
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col(copy), "left_anti")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnline.llm.common import Words, sequence_hash, sequence_sums, signed, slices, windows, written
+from tarnline.llm.common import Words, sequence_hash, sequence_sums, signed, slices, spare, windows, written
 
 WINDOW = 50
 ANCHOR = 16
@@ -194,6 +194,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     known = written(paths.groupBy("h1", "h2").agg(*ends, F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("at")))
     # Anchors with several paths: all places of each in its first document, their edges compared one by one.
     forked = known.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("n > 1 AND lo < hi").select("anchor")
+    forked = written(forked)
     opened = known.join(forked, "anchor", "left_semi").select("h1", "h2", F.col("first").alias("doc_id"))
     sources = paths.join(opened, ["h1", "h2", "doc_id"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "edges")).alias("sources"))
     edges = written(docs.join(sources.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "sources").mapInArrow(_opened(window), _EDGES))
@@ -229,17 +230,17 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, texts: bo
     return joined.unionByName(rest).mapInArrow(_kept(window, texts), schema)
 
 
-def _cut(window: int):
+def _cut(window: int, name: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in slices(batch, "text"):
                 texts = run.column("text").to_pylist()
-                for k, spans in enumerate(run.column("__spans").to_pylist()):
+                for k, spans in enumerate(run.column(name).to_pylist()):
                     if spans:
                         words = texts[k].encode().split()
                         gone = covered(len(words), spans, window)
                         texts[k] = b" ".join([words[j] for j in np.flatnonzero(~gone).tolist()]).decode()
-                rest = run.drop_columns(["__spans"])
+                rest = run.drop_columns([name])
                 yield rest.set_column(rest.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
     return cut
@@ -249,7 +250,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """docs, all columns, with texts cut as by dedup(); n_chars, if there is one, is that of the new text."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
     spans = repeated_spans(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"), window, anchor)
-    spans = spans.select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
-    out = joined.mapInArrow(_cut(window), docs.schema)
+    key, held = spare(docs, "key"), spare(docs, "spans")
+    spans = spans.select(F.col("doc_id").alias(key), F.col("spans").alias(held))
+    joined = docs.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
+    out = joined.mapInArrow(_cut(window, held), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

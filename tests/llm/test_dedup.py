@@ -122,7 +122,8 @@ def test_long_copies_are_few_spans(spark):
 
 def test_without_repeats_keeps_columns(spark):
     long = " ".join(map(str, range(60)))
-    df = spark.createDataFrame([(1, long, "a", 9), (2, long + " tail", "b", 9), (None, None, "c", None)], "doc_id long, text string, spans string, n_chars long")
+    df = spark.createDataFrame([(1, long, "a", 9, 1, 2), (2, long + " tail", "b", 9, 1, 2), (None, None, "c", None, 1, 2)], "doc_id long, text string, spans string, n_chars long, key int, copy int")
+    assert near_dedup.first_of_class(df).columns == substring_dedup.without_repeats(df).columns == df.columns
     rows = {r.doc_id: r for r in substring_dedup.without_repeats(df).collect()}
     assert rows[1].text == long and rows[2].text == "tail" and rows[2].spans == "b" and rows[2].n_chars == 4 and rows[None].text is None
 
