@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnline.functions.text import fraction, host, words
 from tarnline.functions.vectors import cosine
 from tarnline.operators.joins import asof_join, range_join, salted_join
+from tarnline.operators.windows import percentiles as exact_percentiles
 from tarnline.operators.windows import sessions, top_k, tumbling
 from tarnline.plans.registry import query
 from tarnline.sources.tables import table
@@ -129,8 +130,9 @@ def aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT l_linestatus, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1",
 )
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.percentile("l_extendedprice", F.array(F.lit(0.5), F.lit(0.9)))
-    return table(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg(p.alias("p")).select("l_linestatus", F.round(F.col("p")[0], 4).alias("median"), F.round(F.col("p")[1], 4).alias("p90"))
+    """Exact, by a sketch that brackets them: no task holds a group's prices."""
+    p = exact_percentiles(table(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_extendedprice", [0.5, 0.9])
+    return p.select("l_linestatus", F.round(F.col("p")[0], 4).alias("median"), F.round(F.col("p")[1], 4).alias("p90"))
 
 
 @query(
@@ -250,22 +252,22 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "array_functions",
-    """SELECT vec_id, len(embedding) AS dims, round(list_max(embedding), 6) AS top, round(list_sum(list_transform(embedding[1:8], lambda x: abs(x::DOUBLE))), 6) AS mass FROM embeddings""",
+    """SELECT vec_id, len(embedding) AS dims, round(list_max(embedding), 6) AS top, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS mass FROM embeddings""",
 )
 def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mass = F.aggregate(F.slice("embedding", 1, 8), F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
+    mass = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("dims"), F.round(F.array_max("embedding"), 6).alias("top"), F.round(mass, 6).alias("mass"))
 
 
 @query(
     "vector_similarity",
-    """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings WHERE label = 3""",
+    """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings""",
 )
 def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of one label against a single probe row."""
+    """All vectors against a single probe row, which a scalar subquery reads; nulls where there is none."""
     e = table(spark, sf_dir, "embeddings")
-    probe = e.where("vec_id = 0").select(F.col("embedding").alias("probe")).limit(1)
-    return e.where("label = 3").join(F.broadcast(probe)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("probe")), 6).alias("similarity"))
+    probe = e.where("vec_id = 0").select("embedding").limit(1).scalar()
+    return e.select("vec_id", "embedding", probe.alias("probe")).select("vec_id", F.round(cosine(F.col("embedding"), F.col("probe")), 6).alias("similarity"))
 
 
 @query(
@@ -287,10 +289,3 @@ def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["role"]), ">").alias("roles"))
-
-
-@query("sketch_distinct")
-def sketch_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct users a day by mergeable HyperLogLog sketches; an estimate, so that SQL gives no exact equal."""
-    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("d")).agg(F.hll_sketch_agg("user_id").alias("s"))
-    return days.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("users"))
