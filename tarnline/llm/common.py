@@ -1,31 +1,17 @@
-"""What the operators share: the shared folder, tables written there, words of UTF-8 buffers, 64-bit hashes."""
+"""What the operators share: tables written to the shared folder, samples by hash, words of UTF-8 buffers, 64-bit hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new name under the folder that all executors share (spark.checkpoint.dir).
+from tarnline.sources.shared import shared_dir
 
-    Where that is unset, a temporary folder serves a session whose executors are threads of the driver; any other session fails.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tarnline.shared.dir", None)
-    if not root:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tarnline-")
-        spark.conf.set("spark.tarnline.shared.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+U64 = np.uint64
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:

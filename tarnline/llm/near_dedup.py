@@ -131,7 +131,7 @@ def bag_min_hash(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n:
 def _sign(k: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in slices(batch, "text", 2 << 20):
+            for run in slices(batch, "text", 1 << 20):
                 row, shingle, weight = multisets(Words(run.column("text")), k)
                 n = run.num_rows
                 total = np.bincount(row, weight, n).astype(np.int64)

@@ -86,7 +86,7 @@ def _nodes(words: Words, start: np.ndarray, stop: np.ndarray, window: int) -> li
 def _paths(window: int, anchor: int):
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in slices(batch, "text"):
+            for run in slices(batch, "text", 1 << 20):
                 words = Words(run.column("text"))
                 at, anchors = _edges(words, window, anchor)
                 if not len(at):
@@ -112,7 +112,7 @@ def _opened(window: int):
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in slices(batch, "text"):
+            for run in slices(batch, "text", 1 << 20):
                 words = Words(run.column("text"))
                 flat = run.column("sources").flatten()
                 size = np.diff(run.column("sources").offsets.to_numpy())

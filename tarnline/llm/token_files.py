@@ -8,7 +8,10 @@ can be read without the others.
 Planes: bit p of all ids of a block stand together, so that the high bits, nearly always zero, cost almost nothing.
 
 Null texts are empty and have their end id alone; rows of a null doc_id come first and are kept; repeated ids keep
-all their rows, ordered by text; other columns are not read; an empty table gives no containers.
+all their rows, ordered by text; other columns are not read; an empty table gives no containers. Texts of any length are encoded whole.
+
+Rows are dealt by ranges of doc_id, so that rows of one doc_id, or of none, share a range: ids are taken to tell most rows apart. In a range
+memory is bounded by a container whatever its rows.
 """
 
 from __future__ import annotations
@@ -69,28 +72,44 @@ def encode_container(ids: np.ndarray, block: int = BLOCK, bits: bool = True, lev
     return b"".join([*out, *index, struct.pack("<Q", at)])
 
 
+class Container:
+    """A container's ids, read block by block through its chunk index; the last block read is kept."""
+
+    def __init__(self, data: bytes):
+        magic, self.width, self.bits, self.block, self.total, _ = _HEAD.unpack_from(data)
+        if magic != b"TLP1":
+            raise ValueError("not a token container")
+        self.data = data
+        self.entry = struct.Struct(f"<QI{self.width * (8 if self.bits else 1)}I")
+        self.index = struct.unpack_from("<Q", data, len(data) - 8)[0]
+        self.unpack = zstandard.ZstdDecompressor()
+        self.kept: tuple[int, np.ndarray] = (-1, np.zeros(0, "<u4"))
+
+    def ids_of_block(self, k: int) -> np.ndarray:
+        if self.kept[0] != k:
+            at, n, *sizes = self.entry.unpack_from(self.data, self.index + k * self.entry.size)
+            parts = []
+            for size in sizes:
+                parts.append(self.unpack.decompress(self.data[at : at + size], max_output_size=n))
+                at += size
+            self.kept = (k, joined(parts, n, self.width, bool(self.bits)))
+        return self.kept[1]
+
+    def ids(self, first: int, last: int) -> np.ndarray:
+        """Ids first to last; only the blocks they lie in are unpacked."""
+        last, out = min(last, self.total), [np.zeros(0, "<u4")]
+        while first < last:
+            k, offset = divmod(first, self.block)
+            part = self.ids_of_block(k)[offset : offset + last - first]
+            out.append(part)
+            first += len(part)
+        return np.concatenate(out)
+
+
 def decode_container(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
-    """Ids first to last of a container, all of them unless told; only the blocks they lie in are unpacked."""
-    magic, width, bits, block, total, n_blocks = _HEAD.unpack_from(data)
-    if magic != b"TLP1":
-        raise ValueError("not a token container")
-    last = total if last is None else min(last, total)
-    if first >= last:
-        return np.zeros(0, "<u4")
-    n_planes = width * (8 if bits else 1)
-    entry = struct.Struct(f"<QI{n_planes}I")
-    index = struct.unpack_from("<Q", data, len(data) - 8)[0]
-    unpack = zstandard.ZstdDecompressor()
-    out = []
-    for k in range(first // block, min(n_blocks, -(-last // block))):
-        at, n, *sizes = entry.unpack_from(data, index + k * entry.size)
-        parts = []
-        for size in sizes:
-            parts.append(unpack.decompress(data[at : at + size], max_output_size=n))
-            at += size
-        out.append(joined(parts, n, width, bool(bits)))
-    base = first // block * block
-    return np.concatenate(out)[first - base : last - base]
+    """Ids first to last of a container, all of them unless told."""
+    held = Container(data)
+    return held.ids(first, held.total if last is None else last)
 
 
 def _encode(end: int, kind: type, container: int, block: int, bits: bool):
@@ -136,10 +155,10 @@ def write_tokens(docs: DataFrame, end: int = END, encoder: type = WordBpe, conta
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            ids = decode_container(row["data"])
+            held = Container(row["data"])
             n = np.array(row["doc_tokens"], np.int64)
             stop = np.cumsum(n)
-            raw = [ids[a:b].tobytes() for a, b in zip(stop - n, stop, strict=True)]
+            raw = [held.ids(a, b).tobytes() for a, b in zip((stop - n).tolist(), stop.tolist(), strict=True)]
             k = len(n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(k, row["part"], np.int32)), pa.array(np.full(k, row["container"], np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(row["base"] + stop - n), pa.array(n), pa.array(raw, pa.binary())],

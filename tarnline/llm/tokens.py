@@ -8,6 +8,8 @@ finds no place is encoded anew each time.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import struct
 
@@ -128,6 +130,14 @@ class WordBpe:
         return self.unit_by_library(unit)
 
 
+def released() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system, where its C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 _READY: dict[type, object] = {}
 
 
@@ -135,5 +145,6 @@ def ready(kind: type):
     """One encoder of a kind for each Python worker; others are dropped, so that tables don't add up."""
     if kind not in _READY:
         _READY.clear()
+        released()
         _READY[kind] = kind()
     return _READY[kind]

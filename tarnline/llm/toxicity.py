@@ -41,7 +41,7 @@ RIDGE = 0.02
 PENALTY = 10.0
 STEPS = 250
 THRESHOLD = 0.3
-CACHE = 300_000
+CACHE = 100_000
 #: Sets of identity terms that may stand for each other.
 IDENTITY = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"),

@@ -113,6 +113,18 @@ def test_container(ids, block, bits, a, b):
     assert (token_files.decode_container(data, a, b) == x[a:b]).all()
 
 
+def test_reads_by_the_index():
+    """A range of ids unpacks the blocks it lies in, each once in a row of ranges."""
+    ids = np.random.default_rng(1).integers(0, 50_000, 1000).astype("<u4")
+    held, read = token_files.Container(token_files.encode_container(ids, 64)), []
+    real = held.unpack
+    held.unpack = type("Counted", (), {"decompress": lambda self, part, **k: read.append(len(part)) or real.decompress(part, **k)})()
+    assert (held.ids(130, 180) == ids[130:180]).all() and len(read) == 16
+    assert (held.ids(150, 200) == ids[150:200]).all() and len(read) == 32 and (held.ids(999, 2000) == ids[999:]).all()
+    with pytest.raises(ValueError):
+        token_files.Container(b"none" + bytes(40))
+
+
 ROWS = [(7, "the same text"), (7, "the same text"), (3, None), (None, "no id"), (1, ""), (9, "word " * 5000), (4, "Bonjour le monde.\nÇa va? " * 3)]
 
 
