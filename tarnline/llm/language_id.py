@@ -11,10 +11,11 @@ bytes that any language has, the code length of its last byte under every langua
 language that has not met it. A byte is looked up by its longest run; where no language has that, the next shorter one follows. Both
 are hash tables of arrays, of as many rows as the sample has runs of ORDER + 1 bytes or fewer. Bytes are of case-folded UTF-8.
 
-Learning takes the PER_LANGUAGE rows of each language that come first by a hash of doc_id, whole texts. Their runs are counted where the texts are
+Learning takes PER_LANGUAGE rows of each language, those that come first by a hash of doc_id, whole texts, and a quarter as many more: of these rows each
+EVERY-th is kept for checking. The others' runs are counted where the texts are
 read, and the counts alone reach the driver, once for all languages. The model's size is checked: above MODEL_BYTES learning
 fails and asks for less. Membership of a language, which the pipeline asks for, is judged by bits a byte: a text is known if its code is no longer than
-SPREAD standard deviations, and ROOM bits a byte at least, above the mean of CHECKS more rows of that language, with SLACK bits for short texts.
+SPREAD standard deviations, and ROOM bits a byte at least, above the mean of that language's rows kept for checking, with SLACK bits for short texts.
 
 Rows with a null lang, text or doc_id teach nothing. A text that is null or has no letter is `und` with score 0, as are
 all where nothing could be learned. Rows of null doc_id are predicted like others; repeated rows alike; of repeated doc_ids in the sample, each
@@ -36,7 +37,7 @@ from tarnline.llm.common import first_by_hash, held_out, slices, written
 
 ORDER = 4
 PER_LANGUAGE = 400
-CHECKS = 100
+EVERY = 5
 SPREAD = 8.0
 ROOM = 1.5
 SLACK = 64.0
@@ -179,12 +180,13 @@ def _counted(order: int):
     return counted
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, checks: int = CHECKS) -> Model:
-    """A model of the languages in docs(doc_id, text, lang), from rows that are not held out. order: 7 at most."""
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, every: int = EVERY) -> Model:
+    """A model of the languages in docs(doc_id, text, lang), from rows that are not held out. order: 7 at most. every: 0 keeps no row for checking."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     some = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out())
-    picked = written(first_by_hash(some, "lang", per_language + checks))
-    chosen = picked.where(F.col("rank") <= per_language).select("lang", "text")
+    picked = written(first_by_hash(some, "lang", per_language + (per_language // (every - 1) if every else 0)))
+    checks = F.col("rank") % every == 0 if every else F.lit(False)
+    chosen = picked.where(~checks).select("lang", "text")
     table = chosen.mapInArrow(_counted(order), "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")).toArrow()
     names = table["lang"].to_numpy()
     languages = sorted(set(names.tolist()))
@@ -205,9 +207,9 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER,
                 good = np.flatnonzero((size > 0) & (of >= 0))
                 yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(good)), pa.array(bits[good, of[good]] / size[good])], ["lang", "rate"])
 
-        rest = picked.where(F.col("rank") > per_language).select("lang", "text")
+        rest = picked.where(checks).select("lang", "text")
         rates = rest.mapInArrow(spent, "lang string, rate double").groupBy("lang").agg(F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("sd")).collect()
-        for r in rates:  # a language without more rows has no limit
+        for r in rates:  # a language of a few rows has none to check by, and no limit
             model.most[languages.index(r.lang)] = r.mean + max(SPREAD * r.sd, ROOM)
     return model
 

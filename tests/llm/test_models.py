@@ -92,7 +92,7 @@ def test_language_of_rare_bytes(spark):
     train = {"aa": [filler * 3 + " xq zk"] * 4, "bb": [filler * 3 + " qx kz", filler + " ж"] * 2}
     rows = [(k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang, texts in train.items() for t in texts * 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language_id.learn(docs)
+    model = language_id.learn(docs, every=0)
     held = {r.doc_id for r in language_id.identify(docs, model).where("held_out").collect()}
     used = {lang: [t for k, t, x in rows if x == lang and k not in held] for lang in train}
     texts = ["xq", "zk", "qx", "kz", "xqzk kz", "ж", "世q", "a=b x"]

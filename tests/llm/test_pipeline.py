@@ -49,7 +49,7 @@ def planted(seed):
             copy[rng.randrange(len(copy))] = "changed"
         rows.append((300 + k, copy))
     out = [(d, " ".join(t), "en" if d % 2 else "xx", "s", len(" ".join(t))) for d, t in rows]
-    out += [(400, None, None, "s", None), (401, "1234 567", "en", "s", 8), (402, "".join(random.Random(1).choices("ЩЖДЙЪФЁЭ", k=600)), "en", "s", 600), (None, " ".join(text(70)), "en", "s", 1), (12, out[12][1], "en", "s", out[12][4])]
+    out += [(400, None, None, "s", None), (401, "1234 567", "en", "s", 8), (402, "".join(random.Random(1).choices("ЩЖДЙЪФЁЭ", k=600)), None, "s", 600), (None, " ".join(text(70)), "en", "s", 1), (12, out[12][1], "en", "s", out[12][4])]
     return out, toxic
 
 
