@@ -77,7 +77,10 @@ def theta_join(big: DataFrame, small: DataFrame, condition: Column, how: str = "
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16) -> DataFrame:
-    """Inner equality join whose hot keys are dealt over `salts` partitions: small is repeated so often, big is not."""
+    """Inner equality join whose hot keys are dealt over `salts` partitions: small is repeated so often, big is not.
+
+    Always a sort-merge join: the planner's size of small leaves the repeats out, so that it would broadcast what no driver can hold.
+    """
     s = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
     many = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("__salt", s).join(many, [on, "__salt"]).drop("__salt")
+    return big.withColumn("__salt", s).join(many.hint("merge"), [on, "__salt"]).drop("__salt")

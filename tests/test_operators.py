@@ -130,6 +130,14 @@ def test_salted_join(spark):
     assert salted_join(big, small, "k").count() == 200
 
 
+def test_salted_join_broadcasts_nothing(spark):
+    """The repeated side is larger than the planner takes it to be."""
+    big, small = spark.range(2000).select((F.col("id") % 50).alias("k"), "id"), spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
+    got = salted_join(big, small, "k")
+    assert sorted(got.collect()) == [(k, i, 2 * k) for k in range(40) for i in range(k, 2000, 50)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sessions_and_top_k(spark):
     e = spark.createDataFrame([("a", at(m)) for m in (0, 1, 20, 21, 22)] + [("b", at(3)), ("b", None)], "k string, ts timestamp_ntz")
     assert sorted((r.k, r.n_events) for r in sessions(e, "k", "ts", 600).collect()) == [("a", 2), ("a", 3), ("b", 1)]
