@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnline.sources.shared import shared_dir
@@ -25,6 +27,20 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released() -> None:
+    """Give memory that this process has freed, as earlier tasks of a worker did, back to the system, where its C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def swept(spark: SparkSession) -> None:
+    """Collect the driver's garbage, between the jobs of a long operator: Spark then removes shuffle files and broadcasts of those that are over."""
+    released()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spare(docs: DataFrame, name: str) -> str:
     """name, or with underscores after it one that docs has no column of."""
     taken = {c.lower() for c in docs.columns}

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnline.llm.common import Words, mix, sequence_hash, sequence_sums, signed, slices, spare, written
+from tarnline.llm.common import Words, mix, sequence_hash, sequence_sums, signed, slices, spare, swept, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -44,6 +44,7 @@ ROWS = 6
 BLOCK = 4096
 BLOCK_WORDS = 2_000_000
 STAR = 4096
+FILTER = 1 << 24
 _SIGNED = "doc_id long, total long, s1 long, s2 long, bands array<long>"
 U64 = np.uint64
 
@@ -247,6 +248,7 @@ def components(links: DataFrame) -> DataFrame:
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
         after = written(small.distinct())
         last, mark = mark, _fingerprint(after)
+        swept(links.sparkSession)
         if mark == last:
             return after.select(F.col("a").alias("id"), F.col("b").alias("root"))
         edges = after
@@ -262,6 +264,17 @@ def _labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return buckets.join(roots, buckets.doc == roots.id, "left").select("band", "no", "doc", "total", F.coalesce("root", "doc").alias("root"))
 
 
+def _among(rows: DataFrame, ids: DataFrame, bits: int = FILTER) -> DataFrame:
+    """Those of rows(doc_id, ...) whose doc_id is one of ids(doc), and a few more: by a bit for each hash of an id, bits / 64 numbers at most, broadcast.
+
+    No row is shuffled. What it lets through besides, a share of distinct ids over bits, finds no partner in later joins.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    set_bits = ids.select(place("doc").alias("place")).groupBy(F.shiftright("place", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 AS int)))").alias("__bits"))
+    found = rows.join(F.broadcast(set_bits), F.shiftright(place("doc_id"), 6) == F.col("__word"))
+    return found.where(F.getbit("__bits", (place("doc_id") % 64).cast("int")) == 1).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the document's class), is_first: a row for each of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -271,10 +284,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     member = groups.select("doc", "total", F.posexplode("bands").alias("no", "band"))
     shared = member.groupBy("band").agg(F.count("*").alias("n"), F.min("doc").alias("least")).where("n > 1").select("band", "least")
     buckets = written(member.join(shared, "band").select("band", "no", "doc", "total", "least"))
+    # Only these texts are compared, and shuffled to that end.
+    texts = written(_among(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), buckets))
+    swept(docs.sparkSession)
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar; texts of b travel to a, and a's text once for every STAR of them."""
-        text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")).where(f"{x} IS NOT NULL AND text_{x} IS NOT NULL")
+        text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
         stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("points"))
         left = stars.join(text("a"), "a").withColumn("point", F.explode(F.sequence(F.lit(0), F.col("points") - 1))).select("a", "point", "text_a")
         right = pairs.join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("points")).cast("int").alias("point")).join(text("b"), "b")
@@ -295,9 +311,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     open_rows = marked.join(mixed, "band").where("doc > least").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("n_blocks")).cast("int"))
     meets = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     meets = meets.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "root", "block")
-    held = groups.select("doc", "bands").join(docs.select(F.col("doc_id").alias("doc"), "text").where("text IS NOT NULL"), "doc")
+    held = groups.select("doc", "bands").join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
     late = meets.join(held, "doc").groupBy("band", "lo", "hi").applyInArrow(_join_components(k, threshold), "a long, b long, similarity double")
     late = written(late.select("a", "b").distinct())
+    swept(docs.sparkSession)
     if not late.isEmpty():
         roots = components(links.select("a", "b").unionByName(late))
     classes = groups.select("total", "s1", "s2", "doc").join(roots, groups.doc == roots.id, "left").select("total", "s1", "s2", F.coalesce("root", "doc").alias("class_id"))

@@ -8,14 +8,14 @@ finds no place is encoded anew each time.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import re
 import struct
 
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from tarnline.llm.common import released
+
 UNITS = 400_000
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 STOPS = (".", ",")
@@ -130,14 +130,6 @@ class WordBpe:
         return self.unit_by_library(unit)
 
 
-def released() -> None:
-    """Give memory that earlier tasks of this worker have freed back to the system, where its C library can."""
-    gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 _READY: dict[type, object] = {}
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tarnline.llm import near_dedup, substring_dedup
 
@@ -253,6 +254,24 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(gaps)) < 0.012 and max(map(abs, gaps)) < 0.05
 
 
+def test_near_dedup_reads_few_texts(spark, monkeypatch):
+    """Texts that share no bucket are not dealt by id; those that do all are."""
+    rng = random.Random(8)
+    docs = [(k, " ".join(str(rng.randrange(10**6)) for _ in range(60))) for k in range(400)]
+    docs += [(1000 + k, docs[k][1] + " end") for k in range(10)] + [(2000, None), (None, "a b c d e f")]
+    tables = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, write=near_dedup.written: tables.append(write(df)) or tables[-1])
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame).collect()}
+    assert got == {d: d - 1000 if d and 1000 <= d < 1010 else d for d, _ in docs}
+    read = [sorted(r.doc_id for r in t.collect()) for t in tables if "text" in t.columns]
+    assert read == [[*range(10), *range(1000, 1010)]]
+    # With few bits some more pass, and none is missing.
+    ids = spark.range(0, 400, 20).select(F.col("id").alias("doc"))
+    some = {r.doc_id for r in near_dedup._among(frame.where("doc_id < 400"), ids, 128).collect()}
+    assert {*range(0, 400, 20)} <= some and len(some) < 200
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
