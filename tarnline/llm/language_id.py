@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnline.llm.common import first_by_hash, held_out, slices, written
+from tarnline.llm.common import first_by_hash, held_out, released, slices, written
 
 ORDER = 4
 PER_LANGUAGE = 400
@@ -211,6 +211,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER,
         rates = rest.mapInArrow(spent, "lang string, rate double").groupBy("lang").agg(F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("sd")).collect()
         for r in rates:  # a language of a few rows has none to check by, and no limit
             model.most[languages.index(r.lang)] = r.mean + max(SPREAD * r.sd, ROOM)
+    released()
     return model
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnline.llm.common import first_by_hash, held_out, slices, written
+from tarnline.llm.common import first_by_hash, held_out, released, slices, written
 
 SAMPLE = 3000
 BINS = 1 << 21
@@ -107,13 +108,13 @@ class Features:
 
     def __init__(self, pieces: list[str], number, only: np.ndarray | None = None):
         """number: of a feature, or None for one that is left out. only: False for pieces to leave without features."""
-        flat: list[int] = []
+        flat = array("q")
         size = np.zeros(len(pieces), np.int64)
         for k in range(len(pieces)) if only is None else np.flatnonzero(only).tolist():
             found = [f for f in map(number, features(pieces[k])) if f is not None]
-            flat += found
+            flat.extend(found)
             size[k] = len(found)
-        self.flat, self.first = np.array(flat, np.int64), np.append(0, np.cumsum(size))
+        self.flat, self.first = np.frombuffer(flat, np.int64) if flat else np.zeros(0, np.int64), np.append(0, np.cumsum(size))
 
     def __getitem__(self, piece: int) -> np.ndarray:
         return self.flat[self.first[piece] : self.first[piece + 1]]
@@ -141,10 +142,9 @@ class Sample:
     def __len__(self) -> int:
         return len(self.first) - 1
 
-    def rows(self, of_piece: Features, step: int = 500) -> tuple[np.ndarray, np.ndarray]:
-        """(text, feature) of all texts, each pair once, given the features of each piece."""
+    def runs(self, of_piece: Features, step: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text, feature) of all texts, each pair once, given the features of each piece; some texts at a time."""
         flat, size, start = of_piece.flat, np.diff(of_piece.first), of_piece.first[:-1]
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         for a in range(0, len(self), step):
             b = min(a + step, len(self))
             code = self.code[self.first[a] : self.first[b]]
@@ -153,9 +153,21 @@ class Sample:
             at = np.repeat(start[code] - np.cumsum(n) + n, n) + np.arange(n.sum())
             pairs = np.sort(text << 32 | flat[at])
             pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
-            out[0].append(pairs >> 32)
-            out[1].append(pairs & 0xFFFFFFFF)
-        return np.concatenate(out[0]), np.concatenate(out[1])
+            yield pairs >> 32, pairs & 0xFFFFFFFF
+
+    def rows(self, of_piece: Features) -> tuple[np.ndarray, np.ndarray]:
+        """All of runs() at once."""
+        none = np.zeros(0, np.int64)
+        found = [(none, none), *self.runs(of_piece)]
+        return np.concatenate([t for t, _ in found]), np.concatenate([f for _, f in found])
+
+    def counts(self, of_piece: Features, n: int, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of n features, in how many texts it is, and in how many positive ones; no list of all pairs is held."""
+        every, some = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for text, feature in self.runs(of_piece):
+            every += np.bincount(feature, minlength=n)
+            some += np.bincount(feature[positive[text]], minlength=n)
+        return every, some
 
 
 def _best(count: np.ndarray, positive: np.ndarray, n: int, p: int) -> np.ndarray:
@@ -204,16 +216,16 @@ def fit(sample: Sample, toxic: np.ndarray, weight: np.ndarray) -> Model:
     y = toxic.astype(bool)
     p = int(y.sum())
     bins = Features(sample.pieces, _bin)
-    row, column = sample.rows(bins)
     best = np.zeros(BINS, bool)
-    best[_best(np.bincount(column, minlength=BINS), np.bincount(column[y[row]], minlength=BINS), n, p)] = True
+    best[_best(*sample.counts(bins, BINS, y), n, p)] = True
     best[[_bin(f) for f in terms]] = True
     index: dict[str, int] = {}
     some = bins.some(best)
-    row, column = sample.rows(Features(sample.pieces, lambda f: index.setdefault(f, len(index)) if best[_bin(f)] else None, some))
+    del bins
+    of_piece = Features(sample.pieces, lambda f: index.setdefault(f, len(index)) if best[_bin(f)] else None, some)
     names = list(index)
     by_name = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
-    count, positive = np.bincount(column, minlength=len(names)), np.bincount(column[y[row]], minlength=len(names))
+    count, positive = sample.counts(of_piece, len(names), y)
     chosen = list(dict.fromkeys([names[k] for k in by_name[_best(count[by_name], positive[by_name], n, p)].tolist()] + sorted(terms)))
     index = {f: k for k, f in enumerate(chosen)}
     of_piece = Features(sample.pieces, index.get, some)
@@ -258,7 +270,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n = Counter(toxic.tolist())
     held = rows["pieces"].combine_chunks()
     held = pa.concat_arrays(held.chunks) if isinstance(held, pa.ChunkedArray) else held
-    return fit(Sample.of(held), toxic, np.array([totals[int(y)] / n[y] for y in toxic.tolist()]))
+    model = fit(Sample.of(held), toxic, np.array([totals[int(y)] / n[y] for y in toxic.tolist()]))
+    released()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import math
 import os
 import struct
+import tracemalloc
 import zlib
 
 import duckdb
@@ -439,3 +440,17 @@ def test_license_table(spark):
         licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("short", "too few words")], "license string, text string"))
     with pytest.raises(ValueError):
         licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("long", "many words here " * 400_000)], "license string, text string"))
+
+
+def test_toxicity_learns_in_little_memory():
+    """Pairs of texts and features are counted as they come: 7 million of them would take 110 MB."""
+    rng = np.random.default_rng(2)
+    words = ["".join(chr(97 + int(c)) for c in row) for row in rng.integers(0, 26, (30_000, 8))]
+    code = np.concatenate([np.sort(rng.choice(len(words), 400, replace=False)) for _ in range(3000)])
+    sample = toxicity.Sample(words, code, np.arange(0, len(code) + 1, 400))
+    toxic = (np.arange(3000) % 2).astype(float)
+    tracemalloc.start()
+    model = toxicity.fit(sample, toxic, np.ones(3000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.weights) >= toxicity.FEATURES and peak < 200e6, peak
